@@ -8,14 +8,14 @@ from pyspark.sql.window import Window as W
 
 from panellink.llm.common import ascii_lower, broadcast_if_small, stored
 
-#: Words before A-Z are lower-cased: the contract's class with A-Z let in.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words before A-Z are lower-cased: the complement of the contract's class, with A-Z let in.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Test windows that may be broadcast (about 200 bytes each); beyond it Spark joins by shuffle.
 MAX_BROADCAST = 200_000
 
 
 def _words(text):
-    return F.coalesce(F.regexp_extract_all(text, F.lit(RAW_WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(text, GAP), ""), F.array().cast("array<string>"))
 
 
 def test_windows(items: DataFrame, item_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
