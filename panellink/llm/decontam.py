@@ -46,20 +46,25 @@ def rarest_terms(docs: DataFrame, windows: DataFrame, text_col: str) -> DataFram
     return stored(anchors.join(broadcast_if_small(windows, MAX_BROADCAST), "wid"), "decontam-anchors")
 
 
-def build_index(docs: DataFrame, anchors: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def build_index(docs: DataFrame, anchors: DataFrame, id_col: str, text_col: str, width: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """The stored index: (row, doc_id, n_words, pos, term, context), and for each document one row at pos 0 or null.
 
+    That row has the columns ``carry`` too.
+
     Postings are those of the test windows' rarest terms; ``context`` has the words that any window around the
     posting can cover, from the word at position ``context_at`` on.
     """
-    d = docs.select(docs[id_col].alias("doc_id"), F.monotonically_increasing_id().alias("row"), _words(docs[text_col]).alias("words"))
-    d = d.select("doc_id", "row", "words", F.size("words").cast("long").alias("n_words"), F.posexplode_outer("words").alias("pos", "word"))
+    more = [f"c_{c}" for c in carry]
+    d = docs.select(docs[id_col].alias("doc_id"), F.monotonically_increasing_id().alias("row"), _words(docs[text_col]).alias("words"), *[docs[c].alias(f"c_{c}") for c in carry])
+    d = d.select("doc_id", "row", "words", *more, F.size("words").cast("long").alias("n_words"), F.posexplode_outer("words").alias("pos", "word"))
     wanted = anchors.groupBy("term").agg((F.min("rank") == 1).alias("rarest"))
     p = d.withColumn("term", F.lower("word")).join(broadcast_if_small(wanted, MAX_BROADCAST), "term", "left")
     p = p.where("rarest IS NOT NULL OR coalesce(pos, 0) = 0")
     low = f"greatest(pos - {width - 1}, 0)"
     context = F.expr(f"CASE WHEN rarest THEN slice(words, {low} + 1, pos - {low} + {width}) END")
-    return stored(p.select("row", "doc_id", "n_words", "pos", F.expr("CASE WHEN rarest IS NOT NULL THEN term END").alias("term"), F.expr(low).alias("context_at"), context.alias("context")), "decontam-index")
+    term = F.expr("CASE WHEN rarest IS NOT NULL THEN term END").alias("term")
+    once = [F.expr(f"CASE WHEN coalesce(pos, 0) = 0 THEN `{c}` END").alias(c) for c in more]
+    return stored(p.select("row", "doc_id", "n_words", "pos", term, F.expr(low).alias("context_at"), context.alias("context"), *once), "decontam-index")
 
 
 def phrase_matches(index: DataFrame, anchors: DataFrame, slop: int = 0) -> DataFrame:
@@ -83,8 +88,8 @@ def phrase_matches(index: DataFrame, anchors: DataFrame, slop: int = 0) -> DataF
     return a.where("len = 1").unionByName(a.where("len > 1").join(b, ["row", "wid", "start"]).select(a.columns)).distinct()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, item_col: str = "item_id", item_text: str = "text", width: int = 10) -> DataFrame:
-    """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, item_col: str = "item_id", item_text: str = "text", width: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, ``carry``.
 
     A window is ``width`` consecutive words of an item (an item of fewer words is one window); a document's word is hit
     if an occurrence of any window covers it.  Words lower-case A-Z only.  Null texts have no words; items without
@@ -93,17 +98,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """
     windows, owners = test_windows(items, item_col, item_text, width)
     anchors = rarest_terms(docs, windows, text_col)
-    index = build_index(docs, anchors, id_col, text_col, width)
+    index = build_index(docs, anchors, id_col, text_col, width, carry)
     matches = stored(phrase_matches(index, anchors).select("row", "wid", "start", "len"), "decontam-matches")
     spans = matches.select("row", "start", (F.col("start") + F.col("len")).alias("end")).groupBy("row", "start").agg(F.max("end").alias("end"))
     before = F.coalesce(F.max("end").over(W.partitionBy("row").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     hits = spans.withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest("start", before))).groupBy("row").agg(F.sum("new").cast("long").alias("n_hit"))
     found = matches.select("row", "wid").distinct().join(broadcast_if_small(owners, MAX_BROADCAST), "wid").select("row", "item_id").distinct()
     found = found.groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    out = index.where("coalesce(pos, 0) = 0").select("row", "doc_id", "n_words").join(hits, "row", "left").join(found, "row", "left")
+    out = index.where("coalesce(pos, 0) = 0").select("row", "doc_id", "n_words", *[F.col(f"c_{c}") for c in carry]).join(hits, "row", "left").join(found, "row", "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items_of).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items_of).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), *[F.col(f"c_{c}").alias(f"carry_{c}") for c in carry])
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -229,8 +229,6 @@ def languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", tex
     Texts that are null or have no letter are ``und`` with score 0.  Very long texts are labelled whole.  Repeated rows get equal
     results; an empty table gives an empty result; a model without labels gives ``und`` throughout.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
     @pandas_udf("lang string, score double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ids: dict[str, int] = {}
@@ -238,7 +236,7 @@ def languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", tex
         for texts in batches:
             found: list[tuple[str, float]] = []
             for k in range(0, len(texts), GROUP):
-                found += _classify(texts.iloc[k : k + GROUP].tolist(), held.value, ids, table)
+                found += _classify(texts.iloc[k : k + GROUP].tolist(), model, ids, table)
             yield pd.DataFrame(found, columns=["lang", "score"])
 
     return docs.select(docs[id_col].alias("doc_id"), of(docs[text_col]).alias("p")).select("doc_id", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))

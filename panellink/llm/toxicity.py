@@ -19,13 +19,13 @@ TOKEN = re.compile(r"[^\W_]+")
 #: Labelled rows that the classifier is fitted on, at most (those with the smallest digests of their id).
 MAX_LABELLED = 8_000
 #: Units must stand in this many contexts; their log-odds must be over 0.5 and this many standard errors over 0.
-MIN_CONTEXTS, MIN_Z = 5, 5.0
+MIN_CONTEXTS, MIN_Z = 5, 3.0
 #: A token without a score of its own has that of its longest scored stem of these lengths.
 STEMS = (6, 5, 4)
 #: Tokens whose scores a worker keeps.
 KEPT_TOKENS = 300_000
-#: Weight of the Dirichlet prior, in tokens, that the background frequencies are scaled to.
-PRIOR = 500.0
+#: Weight of the Dirichlet prior, whose frequencies are those of all labelled rows, as a share of their tokens.
+PRIOR = 0.05
 
 
 @dataclass(frozen=True)
@@ -61,10 +61,10 @@ def unit_scores(counts: list[tuple[str, int, int]], n1: int, n0: int) -> dict[st
 
     ``n1`` and ``n0`` are the contexts of all tokens; the prior has the background frequencies.
     """
-    out = {}
+    out, prior = {}, PRIOR * (n1 + n0)
     for unit, y1, y0 in counts:
-        a = PRIOR * (y1 + y0) / (n1 + n0)
-        delta = math.log((y1 + a) / (n1 + PRIOR - y1 - a)) - math.log((y0 + a) / (n0 + PRIOR - y0 - a))
+        a = PRIOR * (y1 + y0)
+        delta = math.log((y1 + a) / (n1 + prior - y1 - a)) - math.log((y0 + a) / (n0 + prior - y0 - a))
         if delta > 0.5 and delta / math.sqrt(1 / (y1 + a) + 1 / (y0 + a)) >= MIN_Z:
             out[unit] = delta
     return out
