@@ -171,9 +171,9 @@ def parse_fail_tokens(log: DataFrame, known=()) -> DataFrame:
     first, expected = F.upper(F.coalesce("first_name", F.lit(""))), F.upper(F.coalesce("expected_first", F.lit("")))
     lead = F.when((expected != "") & first.endswith(expected) & (F.length(first) > F.length(expected)), F.substring(first, F.lit(1), F.length(first) - F.length(expected)))
     lack = lambda: F.array_except(toks("last_name"), toks("expected_last"))
-    rows = log.select("emp_id", "first_name", "last_name", F.explode(F.concat(
-        F.when(F.col("defect_type").contains("credential_in_surname"), F.transform(lack(), lambda t: F.struct(t.alias("token"), F.lit("last_name").alias("field"), F.lit("credential_in_surname").alias("defect_type"), F.col("last_name").alias("example")))).otherwise(F.array()),
-        F.when(F.col("defect_type").contains("honorific_glue") & lead.isNotNull(), F.array(F.struct(lead.alias("token"), F.lit("first_name").alias("field"), F.lit("honorific_glue").alias("defect_type"), F.col("first_name").alias("example")))).otherwise(F.array()),
+    rows = log.select("emp_id", F.explode(F.concat(
+        F.when(F.col("defect_type").contains("credential_in_surname"), F.transform(lack(), lambda t: F.struct(t.alias("token"), F.lit("surname").alias("field"), F.lit("credential_in_surname").alias("defect_type"), F.col("raw_name").alias("example")))).otherwise(F.array()),
+        F.when(F.col("defect_type").contains("honorific_glue") & lead.isNotNull(), F.array(F.struct(lead.alias("token"), F.lit("given").alias("field"), F.lit("honorific_glue").alias("defect_type"), F.col("raw_name").alias("example")))).otherwise(F.array()),
     )).alias("r")).select("emp_id", "r.*")
     out = rows.groupBy("token", "field", "defect_type").agg(F.count(F.lit(1)).alias("n_records"), F.countDistinct("emp_id").alias("n_persons"), F.min("example").alias("example"))
     out = out.withColumn("in_known", F.array_contains(_constant([k.upper() for k in known]), F.col("token")) if known else F.lit(False))
