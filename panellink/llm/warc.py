@@ -40,7 +40,7 @@ def assign_revisits(pages: DataFrame, id_col: str, payload_col: str, min_bytes:
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, min_bytes: int = 0) -> None:
-    """Write a WARC record for each page to the files of ``path``, through Spark's committer.
+    """Write a WARC record for each page to gzipped files of ``path``, through Spark's committer.
 
     A response holds an HTTP message with the html in UTF-8 (null: empty) as its payload; a revisit holds no payload
     but its digest, its length and the record it refers to.  Record ids are ``urn:page:<id>``; null ids are empty.
@@ -65,7 +65,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.lit("Content-Type: application/http; msgtype=response\r\n"), line("Content-Length", block_bytes.cast("string")), F.lit("\r\n"),
         F.when(revisit, F.lit("")).otherwise(F.concat(http, F.col("payload"))),
     )
-    p.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    p.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def _header(text: Column, name: str) -> Column:
@@ -77,8 +77,8 @@ def _header(text: Column, name: str) -> Column:
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """Pieces between magics: (file, at, bytes, head, piece), ``at`` the offset of the magic before the piece.
 
-    The files are split and scanned by Spark's readers with the magic as the separator, so one piece is
-    in memory at a time.  Offsets are running sums of the pieces' lengths, over lengths alone.
+    The files (gzipped or plain; plain ones are split) are scanned by Spark's readers with the magic as the separator, so one
+    piece is in memory at a time.  Offsets are those of the uncompressed bytes: running sums of the pieces' lengths.
     """
     lines = spark.read.option("lineSep", MAGIC).text(path)
     pieces = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("piece"))
