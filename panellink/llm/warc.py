@@ -128,7 +128,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     heads = pieces.select("file", "block", "seq", F.when(F.col("piece").contains("\r\n\r\n"), head).alias("head"))
     length = F.expr("try_cast(nullif(regexp_extract(head, '(?i)(?:^|\\\\r\\\\n)Content-Length:[ \\\\t]*([0-9]+)', 1), '') AS long)")
     heads = heads.select("file", "block", "seq", (F.octet_length("head") + GAP).cast("long").alias("head_bytes"), length.alias("content"))
-    known = places.where("at >= 0").join(heads, ["file", "block", "seq"])
+    known = places.where("at >= 0").join(heads.hint("merge"), ["file", "block", "seq"])  # as many rows as records: never a broadcast
     edges = known.select("file", "block", "seq", "at", F.coalesce(F.col("at") + len(MAGIC) + F.col("head_bytes") + F.col("content") + GAP, F.lit(-1)).alias("successor"))
 
     def reach(group: pd.DataFrame) -> pd.DataFrame:
@@ -138,7 +138,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     owner = F.last(F.when(F.col("reached"), F.col("at")), True).over(W.partitionBy("file").orderBy("at"))
     owned = marked.withColumn("record", owner).where("record IS NOT NULL")
     whole = owned.withColumn("several", F.count(F.lit(1)).over(W.partitionBy("file", "record")) > 1)
-    joined = pieces.join(whole.select("file", "block", "seq", "at", "record", "several"), ["file", "block", "seq"])
+    joined = pieces.join(whole.select("file", "block", "seq", "at", "record", "several").hint("merge"), ["file", "block", "seq"])
     one = joined.where("NOT several").select("file", F.col("record").alias("at"), "piece")
     more = joined.where("several").groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("p"))  # pieces of one record
     more = more.select("file", F.col("record").alias("at"), F.array_join(F.col("p.piece"), MAGIC).alias("piece"))
