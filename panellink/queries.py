@@ -532,7 +532,7 @@ SELECT s.person, count(*) AS boards, count(DISTINCT nullif(sector, 'UNU')) AS se
 e AS (SELECT u1 AS u, w, c FROM t UNION ALL SELECT u2, w, c FROM t), n AS (SELECT u, count(*) AS ties, count(*) FILTER (c) AS ct, CAST(coalesce(sum(w) FILTER (c), 0) AS BIGINT) AS cm FROM e GROUP BY 1)
 SELECT p.u AS unit, place, coalesce(ties, 0) AS ties, coalesce(ct, 0) AS cross_ties, coalesce(cm, 0) AS cross_members, CASE WHEN coalesce(ct, 0) > 0 THEN 'spanner' WHEN coalesce(ties, 0) > 0 THEN 'tied within its place' ELSE 'no ties' END AS kind FROM p LEFT JOIN n ON n.u = p.u""",
         "transitivity": f"""{seats}, e AS (SELECT u1, u2 FROM w WHERE w >= 3), t AS (SELECT count(*) AS n FROM e a JOIN e b ON a.u2 = b.u1 JOIN e c ON c.u1 = a.u1 AND c.u2 = b.u2), d AS (SELECT u, count(*) AS d FROM (SELECT u1 AS u FROM e UNION ALL SELECT u2 FROM e) GROUP BY 1)
-SELECT t.n AS triangles, x.wd AS wedges, round(3 * t.n::DOUBLE / x.wd, 9) AS transitivity FROM t, (SELECT sum(d::DOUBLE * (d - 1) / 2) AS wd FROM d) x""",
+SELECT t.n AS triangles, x.wd AS wedges, CASE WHEN x.wd > 0 THEN round(3 * t.n::DOUBLE / x.wd, 9) END AS transitivity FROM t, (SELECT coalesce(sum(d::DOUBLE * (d - 1) / 2), 0) AS wd FROM d) x""",
         "name_risk": f"""{panel}, ln AS (SELECT DISTINCT ON (EMP_ID) EMP_ID, last_name FROM (SELECT EMP_ID, last_name, count(*) AS c FROM panel GROUP BY 1, 2) ORDER BY EMP_ID, c DESC, length(last_name) DESC, last_name),
 fn AS (SELECT DISTINCT ON (EMP_ID) EMP_ID, first_name FROM (SELECT EMP_ID, first_name, count(*) AS c FROM panel GROUP BY 1, 2) ORDER BY EMP_ID, length(first_name) = 1, c DESC, length(first_name) DESC, first_name),
 b AS (SELECT EMP_ID, min(ein) AS org, bool_or({held} = 'BOARD') AS board FROM panel GROUP BY 1), p AS (SELECT * FROM ln JOIN fn USING (EMP_ID) JOIN b USING (EMP_ID)),
