@@ -67,6 +67,9 @@ def candidate_pairs(keys: DataFrame, profiles: DataFrame, max_block_size: int =
     sizes = block_sizes(keys)
     usable = keys.join(sizes.where(F.col("n").between(2, max_block_size)).drop("n"), ["pass", "block_key"])
     m = usable.distinct().join(first_org(profiles).where("org IS NOT NULL"), "EMP_ID")
+    # by number, not by bytes: the pairs of a block are many more than its keys
+    n = max(int(m.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * m.sparkSession.sparkContext.defaultParallelism)
+    m = m.repartition(n, "block_key")
     a, b = m.alias("a"), m.alias("b")
     shared = a.join(b, F.expr("a.block_key = b.block_key AND a.EMP_ID < b.EMP_ID AND a.org <> b.org"))
     pairs = shared.groupBy(F.col("a.EMP_ID").alias("emp_a"), F.col("b.EMP_ID").alias("emp_b")).agg(F.min(pass_rank(F.col("a.pass"))).alias("pass_rank"), F.count(F.lit(1)).cast("int").alias("n_shared_buckets"))

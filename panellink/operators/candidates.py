@@ -11,6 +11,10 @@ from panellink.operators.prepare import prepare_panel
 from panellink.sources.panel import PanelCols
 
 EXACT = ("gender", "suffix", "salutation")
+#: Features that vary between records of one name: compared only where the rest could reach the threshold.
+VOLATILE = ("title_standard",)
+#: Rows of an organization's left side in one part of its pairs.
+SALT_ROWS = 1000
 KEYS = ("row_x", "row_y", "yr_x", "yr_y", "org", "surname_w_x", "surname_w_y")
 
 
@@ -28,10 +32,32 @@ def match_comparators(feats: list[str], first_name_comparator: bool = True) -> d
     return {f: cmp_exact if f in EXACT else (lambda x, y, k=named.get(f, "jaro"): similarity(k, x, y)) for f in feats}
 
 
+def spread_by_org(df: DataFrame) -> DataFrame:
+    """Add ``salts``: into how many parts an organization's pairs are cut, one for each SALT_ROWS of its rows."""
+    n = df.groupBy(F.col("org").alias("_org")).agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
+    return df.join(n, F.col("org") == F.col("_org")).drop("_org")  # rows without an organization pair with none
+
+
+def within_orgs(x: DataFrame, y: DataFrame, condition: str) -> DataFrame:
+    """Join two frames with org and ``salts`` (columns otherwise distinct) on the organization and a condition.
+
+    The left rows of an organization are dealt to its parts and the right ones are in all of them, so a huge
+    organization is many tasks.  Partitions are set by number: the few bytes that go in would be gathered into one or two tasks,
+    while their pairs are many.
+    """
+    spark = x.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    left = x.withColumn("salt", F.pmod(F.xxhash64(*[c for c in x.columns if c not in ("org", "salts")]), F.col("salts"))).drop("salts")
+    right = y.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts").withColumnRenamed("org", "_org")
+    joined = left.repartition(n, "org", "salt").join(right.repartition(n, "_org", "_salt"), F.expr(f"org = _org AND salt = _salt AND ({condition})"))
+    return joined.drop("salt", "_salt", "_org")
+
+
 def pairs_across_years(work: DataFrame, columns: list[str]) -> DataFrame:
     """All pairs of records of one organization from an earlier and a later year: one equi-join for all year pairs."""
-    side = lambda s: work.select("org", *[F.col(c).alias(f"{c}_{s}") for c in ("uid", "year", "surname_w", *columns)])
-    return side("x").alias("x").join(side("y").alias("y"), (F.col("x.org") == F.col("y.org")) & (F.col("year_x") < F.col("year_y"))).drop(F.col("y.org"))
+    w = spread_by_org(work.select("org", "uid", "year", "surname_w", *columns))
+    side = lambda s: w.select("org", "salts", *[F.col(c).alias(f"{c}_{s}") for c in ("uid", "year", "surname_w", *columns)])
+    return within_orgs(side("x"), side("y"), "year_x < year_y")
 
 
 def compared(work: DataFrame, feats: list[str], fields: list[str] = (), comparators: dict | None = None) -> DataFrame:
@@ -67,6 +93,33 @@ def scored(work: DataFrame, weights: dict[str, float], fields: list[str] = ()) -
     return c.withColumn("score", F.round(score, 12))
 
 
+def scored_above(work: DataFrame, weights: dict[str, float], threshold: float) -> DataFrame:
+    """The candidates of ``scored`` that reach the threshold, without comparing every pair of records.
+
+    Records of one organization with equal stable features form a signature; signatures are compared once.  Those
+    whose score, with all that the volatile features could add, reaches the threshold are turned back into pairs of records,
+    for which the volatile features are compared.
+    """
+    feats = [f for f in weights if f in work.columns]
+    stable = [f for f in feats if f not in VOLATILE]
+    late = [f for f in feats if f in VOLATILE]
+    comparators = match_comparators(feats)
+    sid = F.md5(F.concat_ws("\x00", *[F.coalesce(F.col(c), F.lit("\x01")) for c in ("org", *stable)]).cast("binary"))
+    work = work.where("org IS NOT NULL AND year IS NOT NULL").select(sid.alias("sid"), "org", "uid", "year", "surname_w", *feats)
+    sigs = spread_by_org(work.groupBy("sid").agg(F.first("org").alias("org"), F.first("surname_w").alias("surname_w"), F.min("year").alias("y0"), F.max("year").alias("y1"), *[F.first(f).alias(f) for f in stable]))
+    side = lambda s: sigs.select("org", "salts", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "surname_w", "y0", "y1", *stable)])
+    p = within_orgs(side("x"), side("y"), "y0_x < y1_y")
+    p = p.select("org", "sid_x", "sid_y", "surname_w_x", "surname_w_y", *[comparators[f](F.col(f"{f}_x"), F.col(f"{f}_y")).alias(f) for f in stable])
+    sw = (F.col("surname_w_x"), F.col("surname_w_y"))
+    room = sum(abs(weights[f]) for f in late) + 1e-9
+    p = p.where(score_pairs({f: F.col(f) for f in stable}, weights, *sw) >= threshold - room)
+    record = lambda s: work.select(F.col("sid").alias(f"sid_{s}"), F.col("uid").alias(f"row_{s}"), F.col("year").alias(f"yr_{s}"), *[F.col(f).alias(f"{f}_{s}") for f in late])
+    r = p.join(record("x"), "sid_x").join(record("y"), "sid_y").where("yr_x < yr_y")
+    r = r.withColumns({f: comparators[f](F.col(f"{f}_x"), F.col(f"{f}_y")) for f in late}) if late else r
+    r = r.withColumn("score", F.round(score_pairs({f: F.col(f) for f in feats}, weights, *sw), 12))
+    return r.where(F.col("score") >= threshold).select("org", "yr_x", "yr_y", "row_x", "row_y", "score")
+
+
 def candidate_scores(df: DataFrame, cols: PanelCols | None = None, weights: dict[str, float] | None = None, fields: tuple[str, ...] = ("name", "first_name", "middle_name", "last_name", "suffix", "gender")) -> DataFrame:
     """Every candidate pair with its score and the raw fields of both sides, without a threshold."""
     _, work, _ = prepare_panel(df, cols)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panellink.functions.constants import LINK_THRESHOLD, PROB_THRESHOLD
 from panellink.functions.ids import anchor_emp_id, anchor_key, anchor_order
 from panellink.functions.normalize import as_year, column, pick
-from panellink.operators.candidates import compared, default_weights, scored
+from panellink.operators.candidates import compared, default_weights, scored_above
 from panellink.operators.closure import resolve_within
 from panellink.operators.prepare import prepare_panel
 from panellink.plans.model import fit_match_model, predict_match
@@ -61,7 +61,7 @@ def link_panel(df: DataFrame, cols: PanelCols | None = None, weights: dict[str,
     keyed, work, feats = prepare_panel(df, cols)
     model = None
     if method == "weighted":
-        candidates = scored(work, weights).where(F.col("score") >= threshold)
+        candidates = scored_above(work, weights, threshold)
     else:
         comparisons = settled(compared(work, feats), "comparisons")
         model = fit_match_model(comparisons, "em", feats=feats)
