@@ -14,7 +14,7 @@ from pyspark.sql.functions import pandas_udf
 
 from panellink.llm.common import stored
 
-#: Units of fewer words are only judged together with the sentence beside them.
+#: Units of fewer words are only judged together with the sentences beside them, until they are this many words.
 MIN_WORDS = 6
 
 _LINE = re.compile(r"[^\n]*\n?")
@@ -32,7 +32,7 @@ def _digest(text: str) -> bytes:
 def units(text: str | None) -> Iterator[tuple[int, int, bytes]]:
     """(start, end, digest) of each unit: lines of MIN_WORDS words or more, and where a line has several sentences, those.
 
-    A sentence of fewer words is hashed together with the one before it on its line (the first one, with the next).
+    A sentence of fewer words is hashed together with those before it on its line, and if these are too few with those after.
     """
     for m in _LINE.finditer(text or ""):
         line = m[0]
@@ -41,15 +41,22 @@ def units(text: str | None) -> Iterator[tuple[int, int, bytes]]:
         if len(line.split(None, MIN_WORDS)) < MIN_WORDS:
             continue
         yield m.start(), m.end(), _digest(line)
-        parts = [(s.start(), s.end(), s[0]) for s in _SENTENCE.finditer(line)]
+        parts = [(x.start(), x.end()) for x in _SENTENCE.finditer(line)]
         if len(parts) < 2:
             continue
-        for k, (a, b, part) in enumerate(parts):
-            if len(part.split(None, MIN_WORDS)) >= MIN_WORDS:
-                yield m.start() + a, m.start() + b, _digest(part)
-            else:
-                near = parts[k - 1][2] + part if k else part + parts[1][2]
-                yield m.start() + a, m.start() + b, _digest(("<" if k else ">") + near) + b"s"
+        words = [len(line[a:b].split(None, MIN_WORDS)) for a, b in parts]
+        for k, (a, b) in enumerate(parts):
+            if words[k] >= MIN_WORDS:
+                yield m.start() + a, m.start() + b, _digest(line[a:b])
+                continue
+            low, high, n = k, k, words[k]
+            while n < MIN_WORDS and low:
+                low -= 1
+                n += words[low]
+            while n < MIN_WORDS and high + 1 < len(parts):
+                high += 1
+                n += words[high]
+            yield m.start() + a, m.start() + b, _digest(line[parts[low][0] : parts[high][1]]) + bytes([k - low])
 
 
 def text_units(text: Column) -> Column:
