@@ -56,19 +56,21 @@ def id_hash(c: Column) -> Column:
     return F.md5(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
 
 
-def numbered(df: DataFrame, keys: list[str], digest: str, ties: list[str], n_rows: int, out: str) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], digest: str, ties: list[str], n_rows: int, out: str, extra: DataFrame | None = None) -> DataFrame:
     """Number the rows of each key from 0 in the order of (``digest``, ``ties``) without bringing a key into one task.
 
-    ``digest`` is a hex string column.  Rows are cut into cells of (key, first k digits of the digest), with k
-    growing with ``n_rows`` so that a cell of even a key with all rows stays small.  A cell's offset is a prefix
-    sum over the counts of the cells before it; a row's number is that offset plus its rank within the cell.
+    ``keys`` are columns without nulls, ``digest`` is a hex string column.  Rows are cut into cells of (key, first k digits
+    of the digest), with k growing with ``n_rows`` so that a cell of even a key with all rows stays small.  A cell's
+    offset is a prefix sum over the counts of the cells before it; a row's number is that offset plus its rank within the
+    cell.  ``extra`` has one row for each key; its columns come along.  Rows are shuffled once.
     """
     digits = max(1, math.ceil(math.log(max(1, n_rows / 200_000), 16)))
     df = df.withColumn("_cell", F.substring(digest, 1, digits))
     counts = df.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offsets = offsets if extra is None else offsets.join(extra, keys)
     ranked = df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys, "_cell").orderBy(digest, *ties)))
-    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_cell"]]
-    kept = [F.col(f"a.{c}") for c in df.columns if c != "_cell"]
-    return ranked.alias("a").join(offsets.alias("b"), on).select(*kept, (F.col("b._off") + F.col("a._rank") - 1).alias(out))
+    more = [c for c in offsets.columns if c not in (*keys, "_cell", "_off")]
+    kept = [c for c in df.columns if c != "_cell"]
+    return ranked.join(offsets, [*keys, "_cell"]).select(*kept, *more, (F.col("_off") + F.col("_rank") - 1).alias(out))

@@ -59,19 +59,18 @@ def mix_sources(
         docs[id_col].alias("doc_id"), docs[source_col].cast("string").alias("source"),
         F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *[docs[c].alias(f"c_{c}") for c in carry],
     )
-    d = d.withColumn("h", id_hash(F.col("doc_id")))
-    cells = d.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
-    larger = W.partitionBy("source").orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)
-    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(larger), F.lit(0)))
+    d = d.withColumns({"h": id_hash(F.col("doc_id")), "s": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()})
+    cells = d.groupBy("s", "none", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    larger = W.partitionBy("s", "none").orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)
+    cells = cells.select("s", "none", "size", F.coalesce(F.sum("n").over(larger), F.lit(0)).alias("before"))
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weight, max_repeats, budget)
-    per = cells.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "c.size", "c.before", "t.source_size", "t.target")
+    targets = source_targets(sizes, weight, max_repeats, budget).select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"), "source_size", "target")
+    per = cells.join(targets, ["s", "none"])
     ties = ["doc_id"] if not carry else ["doc_id", *[f"c_{c}" for c in carry if c == text_col]]
-    rows = numbered(d, ["source", "size"], "h", ties, docs.count(), "at")
-    offset = F.conv(F.substring(F.md5(F.concat_ws("\x00", F.lit(seed), F.coalesce("d.source", F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    rows = numbered(d, ["s", "none", "size"], "h", ties, docs.count(), "at", per)
+    offset = F.conv(F.substring(F.md5(F.concat_ws("\x00", F.lit(seed), "s").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(max_repeats))).otherwise(F.lit(0.0))
-    joined = rows.alias("d").join(per.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.size") == F.col("p.size")))
-    out = joined.select("d.*", "p.source_size", "p.target", rate.alias("expected"), offset.alias("u"), (F.col("p.before") + F.col("d.at")).alias("prior"))
+    out = rows.withColumns({"expected": rate, "u": offset, "prior": F.col("before") + F.col("at")})
     copies = F.floor((F.col("prior") + 1) * F.col("expected") + F.col("u")) - F.floor(F.col("prior") * F.col("expected") + F.col("u"))
     out = out.withColumn("copies", copies.cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "expected", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"c_{c}").alias(f"carry_{c}") for c in carry])
