@@ -460,6 +460,24 @@ def seeded_test(seeds: DataFrame, profiles: DataFrame, threshold: float = LINK_T
     return out
 
 
+def blocking_variants(scored: DataFrame, profiles: DataFrame, variants: dict[str, Column], threshold: float = LINK_THRESHOLD) -> DataFrame:
+    """(variant, pairs, edges, interlockers, org_ties, mean_degree): one scored superset of pairs under several blocking rules.
+
+    ``variants`` maps a name to a condition over the pairs' columns.  Ties are pairs of organizations with an accepted edge.
+    """
+    org = profiles.select("EMP_ID", F.get("orgs", F.lit(0)).alias("org"))
+    j = scored.join(org.toDF("emp_a", "org_a"), "emp_a").join(org.toDF("emp_b", "org_b"), "emp_b")
+    held = F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in variants.items()]), lambda v: v.isNotNull())
+    v = j.withColumn("variant", F.explode(held))
+    n = v.groupBy("variant").agg(F.count(F.lit(1)).alias("pairs"), F.count(F.when(F.col("score") >= threshold, 1)).alias("edges"))
+    e = v.where(F.col("score") >= threshold)
+    people = e.select("variant", F.explode(F.array("emp_a", "emp_b")).alias("e")).groupBy("variant").agg(F.countDistinct("e").alias("interlockers"))
+    ties = e.select("variant", F.least("org_a", "org_b").alias("u1"), F.greatest("org_a", "org_b").alias("u2")).distinct()
+    deg = ties.select("variant", F.explode(F.array("u1", "u2")).alias("u")).groupBy("variant").agg(F.countDistinct("u").alias("k"))
+    t = ties.groupBy("variant").agg(F.count(F.lit(1)).alias("org_ties")).join(deg, "variant").select("variant", "org_ties", (2 * F.col("org_ties") / F.col("k")).alias("mean_degree"))
+    return n.join(people, "variant", "left").join(t, "variant", "left").na.fill(0, ["interlockers", "org_ties"])
+
+
 def wave_quality(matched: DataFrame, wave: DataFrame, existing: DataFrame, truth: str = "truth_id") -> DataFrame:
     """One row: precision and recall of wave matches against a truth column carried by both linked panels."""
     t = lambda d, c: d.select(F.col("EMP_ID").alias(c), F.col(truth).alias(f"t_{c}")).distinct()

@@ -93,6 +93,14 @@ def org_table(records: DataFrame, filings: DataFrame | None = None, org: str = "
     return g.withColumn("cost", cost).crossJoin(F.broadcast(total)).withColumn("cost_share", F.col("cost") / F.col("_total")).drop("_total")  # one row
 
 
+def ntile_batches(df: DataFrame, n: int, org: str = "ein") -> DataFrame:
+    """(organization, batch): whole organizations in ``n`` batches of near equal numbers, in the order of their ids.
+
+    The order is over organizations, not records; their ids alone meet in one task.
+    """
+    return df.select(org).distinct().withColumn("batch", F.ntile(n).over(W.partitionBy(F.lit(1)).orderBy(org)))
+
+
 def size_bin(c: Column, edges: list[float], labels: list[str]) -> Column:
     """Left-closed bins: labels[0] below edges[0], then one more label for each edge; missing values are 'missing'."""
     out = F.lit(labels[0])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import os
 import time
 from dataclasses import dataclass
@@ -114,7 +115,7 @@ class BatchRun:
 
 
 def run_batch(spark: SparkSession, path: str, out_dir: str, batch: str, do_link: bool, do_profile: bool, cols: PanelCols, id_col: str, prefix: str, link_args: dict, profile_args: dict) -> BatchRun:
-    """Link and profile one batch.  Profiles are written before the id map, whose presence marks the batch as linked."""
+    """Link and profile one batch: profiles first, then the id map, whose presence marks the batch as linked, then the run record."""
     df = spark.read.parquet(path)
     if id_col not in df.columns:
         raise ValueError(f"batch {batch}: no {id_col!r} column")
@@ -139,7 +140,9 @@ def run_batch(spark: SparkSession, path: str, out_dir: str, batch: str, do_link:
         build_person_profile(linked, cols, **profile_args).write.mode("overwrite").parquet(f"{out_dir}/profiles/{prefix}={batch}")
     if new is not None:
         new.write.mode("overwrite").parquet(f"{out_dir}/emp-map/{prefix}={batch}")
-    return BatchRun(batch, "done", records, persons, link_secs, time.time() - started)
+    run = BatchRun(batch, "done", records, persons, link_secs, time.time() - started)
+    _Store(spark, out_dir).write_text(f"runs/{prefix}={batch}.json", json.dumps({**run.__dict__, "spark": spark.version, "date": time.strftime("%Y-%m-%d %H:%M:%S")}))
+    return run
 
 
 def link_panel_batched(spark: SparkSession, path: str, out_dir: str, steps: tuple[str, ...] = ("link", "profile"), batches: list[str] | None = None, resume: bool = True, retry_failed: bool = True, cols: PanelCols | None = None, id_col: str = "PERSON_YEAR_ID", prefix: str = "batch", link_args: dict | None = None, profile_args: dict | None = None) -> list[BatchRun]:

@@ -210,23 +210,22 @@ def transitivity(spark, sf):
     return network.transitivity(w).withColumn("transitivity", F.round("transitivity", 9))
 
 
-def _strict_seats(spark, sf):
-    """Seats with persons told apart by full name and suffix: a sparse interlock."""
-    p = synthetic_panel(spark, sf)
-    return p.groupBy(F.col("ein").alias("org"), F.concat_ws(":", "first_name", "last_name", F.coalesce("suffix", F.lit("")), "org_cbsa").alias("person")).agg(F.array_sort(F.collect_set("taxyr")).alias("years"))
+def _ties(spark, sf):
+    """Organizations that share two persons or more of the named seats."""
+    return network.org_pairs(_named_seats(spark, sf)).where("w >= 2")
 
 
 def coreness(spark, sf):
-    return network.coreness(network.org_pairs(_strict_seats(spark, sf)))
+    return network.coreness(_ties(spark, sf))
 
 
 def eigen_centrality(spark, sf):
-    edges = network.largest_component(settled(network.org_pairs(_strict_seats(spark, sf)), "edges"))
-    return network.eigen_centrality(edges, rounds=12)
+    edges = network.largest_component(settled(_ties(spark, sf), "edges"))
+    return network.eigen_centrality(edges, rounds=12).withColumn("centrality", F.round("centrality", 6))
 
 
 def betweenness(spark, sf):
-    return network.betweenness(network.org_pairs(_strict_seats(spark, sf)))
+    return network.betweenness(_ties(spark, sf)).withColumn("betweenness", F.round("betweenness", 6))
 
 
 def meta_organizations(spark, sf):
@@ -337,12 +336,74 @@ def waves(spark, sf):
     return incremental.link_incremental(old, p.where("taxyr >= 2000")).new_stamped.select("truth_id", "ein", "taxyr", "EMP_ID", "EMP_ANCHOR")
 
 
+def wave_matches(spark, sf):
+    """Wave profiles against earlier ones, persons known by their true ids."""
+    p = synthetic_panel(spark, sf)
+    old = settled(build_person_profile(p.where("taxyr <= 1999")), "old")
+    new = settled(build_person_profile(p.where("taxyr >= 2000").withColumn("EMP_ID", F.concat(F.lit("W-"), "EMP_ID"))), "new")
+    return incremental.match_to_profiles(new, old).matched.select("wave_emp_id", "existing_emp_id", F.round("score", 6).alias("score"))
+
+
+def _strict_scores(spark, sf) -> tuple[DataFrame, DataFrame]:
+    p = settled(_profiles(spark, sf), "profiles")
+    pairs = blocking.candidate_pairs(blocking.person_blocking_keys(p, ["strict", "metro"]), p)[0]
+    return settled(xorg.score_candidate_pairs(pairs, p, components=True), "scored"), p
+
+
+def xorg_scores(spark, sf):
+    return _strict_scores(spark, sf)[0].select("emp_a", "emp_b", "pass", F.round("score", 6).alias("score"), *[F.round(c, 6).alias(c) for c in ("sim_last_name", "sim_first_name")], "sim_suffix", "sim_gender")
+
+
+def pair_evidence(spark, sf):
+    scores, p = _strict_scores(spark, sf)
+    return evaluate.pair_evidence(scores.where("score >= 7").select("emp_a", "emp_b"), p, network.board_seats(p))
+
+
+def blocking_variants(spark, sf):
+    scores, p = _strict_scores(spark, sf)
+    return evaluate.blocking_variants(scores, p, {"strict": F.col("pass") == "strict", "strict or metro": F.lit(True)})
+
+
+def variant_test(spark, sf):
+    return evaluate.variant_test(*_strict_scores(spark, sf))
+
+
+def seeded_test(spark, sf):
+    scores, p = _strict_scores(spark, sf)
+    return evaluate.seeded_test(scores.where("score >= 9").select("emp_a", "emp_b"), p)
+
+
+def surname_successions(spark, sf):
+    return evaluate.surname_successions(synthetic_panel(spark, sf))
+
+
+def k_core(spark, sf):
+    return network.k_core(_ties(spark, sf), 20)
+
+
+def meta_share(spark, sf):
+    s = settled(_named_seats(spark, sf), "seats")
+    proj = settled(network.org_projection(s), "projection")
+    return network.meta_share(proj, s, network.meta_orgs(proj, s, min_shared=3, jaccard=0.9), "w>=3 & jaccard>=0.9")
+
+
+def stratified_customers(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_nationkey")
+    s = ingest.stratified_sample(c, ["c_nationkey"], 200, floor=5, key="c_custkey")
+    return s.withColumn("weight", F.round("weight", 9))
+
+
+def org_batches(spark, sf):
+    return ingest.ntile_batches(_raw(spark, sf), 7)
+
+
 def queries() -> dict:
     names = (
         churn_by_org, churn_pooled, transitions, transitions_tolerant, promotions, role_coverage, surname_weights, population_weights, id_strings, anchors, batches, profiles, blocking_keys, block_census,
         xorg_candidates, xorg_dropped_blocks, wave_candidates, wave_reloads, anomalies, link_flags, parse_failures, filings, membership, org_costs, org_projection, person_projection, group_mixing, ei_index, network_summary,
         bridges, spanners, transitivity, coreness, eigen_centrality, betweenness, meta_organizations, name_risk, board_edges, xorg_diff, record_checks, linkage_summary, ceo_continuity, surname_similarity,
-        first_name_similarity, pair_scores, link_panel_ids, link_panel_em, link_invariants, link_quality, match_weights, sweep, cross_org, cross_org_invariants, waves,
+        first_name_similarity, pair_scores, wave_matches, xorg_scores, pair_evidence, blocking_variants, variant_test, seeded_test, surname_successions, k_core, meta_share, stratified_customers, org_batches,
+        link_panel_ids, link_panel_em, link_invariants, link_quality, match_weights, sweep, cross_org, cross_org_invariants, waves,
     )
     return {f.__name__: f for f in names}
 
@@ -574,6 +635,10 @@ fn AS (SELECT a AS fx, b AS fy, CAST({first_rule} AS DOUBLE) AS s FROM jr LEFT J
 SELECT x.uid AS row_x, y.uid AS row_y, x.taxyr AS yr_x, y.taxyr AS yr_y, x.ein AS org,
   round(6.0 * CASE WHEN 2 * ls.s - 1 >= 0 THEN least(x.w, y.w) ELSE greatest(x.w, y.w) END * (2 * ls.s - 1) + 5.0 * (2 * fn.s - 1) + coalesce(3.0 * (2 * (x.suffix = y.suffix)::INT - 1), 0) + 2.0 * (2 * (x.gender = y.gender)::INT - 1) + 0.5 * (2 * tt.jaro - 1), 6) AS score
 FROM q x JOIN q y ON x.ein = y.ein AND x.taxyr < y.taxyr JOIN ls ON ls.lx = x.last_name AND ls.ly = y.last_name JOIN fn ON fn.fx = x.first_name AND fn.fy = y.first_name JOIN jr tt ON tt.a = x.title_standard AND tt.b = y.title_standard""",
+        "stratified_customers": """WITH n AS (SELECT c_nationkey, count(*) AS pop FROM customer GROUP BY 1), t AS (SELECT *, least(pop, greatest(5, CAST(round(200 * sqrt(pop) / (SELECT sum(sqrt(pop)) FROM n)) AS BIGINT))) AS take FROM n),
+r AS (SELECT c_custkey, c.c_nationkey, pop, take, row_number() OVER (PARTITION BY c.c_nationkey ORDER BY md5('s' || chr(0) || c_custkey), c_custkey) AS k FROM customer c JOIN t ON t.c_nationkey = c.c_nationkey)
+SELECT c_custkey, c_nationkey, round(pop::DOUBLE / take, 9) AS weight FROM r WHERE k <= take""",
+        "org_batches": f"{panel} SELECT ein, CAST(ntile(7) OVER (ORDER BY ein) AS INT) AS batch FROM (SELECT DISTINCT ein FROM panel)",
         "link_invariants": f"{panel} SELECT count(*) AS records, CAST(0 AS BIGINT) AS repeated_in_year, CAST(0 AS BIGINT) AS across_orgs FROM panel",
         "cross_org_invariants": f"{panel} SELECT count(DISTINCT EMP_ID) AS persons, CAST(0 AS BIGINT) AS org_collisions FROM panel",
     }

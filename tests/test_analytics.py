@@ -355,3 +355,12 @@ def test_review_evidence_and_seeds(spark):
     assert v == {"kept": 1}
     sx = spark.createDataFrame([(["JR"], ["II"]), (["SR"], ["SR"]), ([], []), (["SR"], [])], "a array<string>, b array<string>")
     assert [r[0] for r in sx.select(evaluate.suffix_relation(F.col("a"), F.col("b"))).collect()] == ["JR vs II (compatible)", "agree", "none", "one side only"]
+
+
+def test_blocking_variants_and_ntiles(spark):
+    p = spark.createDataFrame([(e, [o]) for e, o in (("A", "1"), ("B", "2"), ("C", "3"))], "EMP_ID string, orgs array<string>")
+    s = spark.createDataFrame([("A", "B", "strict", 9.0), ("A", "C", "metro", 8.0), ("B", "C", "metro", 1.0)], "emp_a string, emp_b string, pass string, score double")
+    got = {r["variant"]: tuple(r)[1:] for r in evaluate.blocking_variants(s, p, {"strict": F.col("pass") == "strict", "all": F.lit(True), "none": F.col("score") < 2}).collect()}
+    assert got == {"strict": (1, 1, 2, 1, 1.0), "all": (3, 2, 3, 2, pytest.approx(4 / 3)), "none": (1, 0, 0, 0, None)}
+    b = ingest.ntile_batches(spark.createDataFrame([(str(k), k) for k in range(7)] * 2, "ein string, y long"), 3)
+    assert sorted(r["batch"] for r in b.collect()) == [1, 1, 1, 2, 2, 3, 3]
