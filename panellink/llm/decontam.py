@@ -79,12 +79,13 @@ def phrase_matches(index: DataFrame, anchors: DataFrame, slop: int = 0) -> DataF
     a = postings.join(first, "term").select("row", "wid", "len", "words", "context", "context_at", (F.col("pos") - F.col("off")).alias("start"))
     held = ascii_lower(F.concat_ws(" ", F.expr("slice(context, start - context_at + 1, len)")))
     a = a.withColumn("exact", F.expr("start >= context_at") & (held == F.concat_ws(" ", "words"))).drop("context", "context_at", "words")
-    b = postings.join(second, "term").select("row", "wid", (F.col("pos") - F.col("off")).alias("start"))
+    # the second lists are read for the documents that the first ones leave
+    a = stored(a if slop else a.where("exact"), "decontam-first")
+    left = broadcast_if_small(a.where("len > 1").select("row").distinct(), MAX_BROADCAST)
+    b = postings.select("row", "term", "pos").join(left, "row", "left_semi").join(second, "term").select("row", "wid", (F.col("pos") - F.col("off")).alias("start"))
     if slop:
         near = F.explode(F.sequence(F.lit(-slop), F.lit(slop)))
         b = b.select("row", "wid", near.alias("by"), "start").select("row", "wid", (F.col("start") + F.col("by")).alias("start")).distinct()
-    else:
-        a = a.where("exact")
     return a.where("len = 1").unionByName(a.where("len > 1").join(b, ["row", "wid", "start"]).select(a.columns)).distinct()
 
 
