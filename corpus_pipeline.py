@@ -1,4 +1,4 @@
-"""The corpus pipeline: toxicity, SimHash near-dedup, benchmark decontamination, mixing, sharding.
+"""The corpus pipeline: toxicity, near-dedup, benchmark decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``, the Parquet that its predecessor wrote; all
 but the last return the columns of ``docs``.
@@ -26,8 +26,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the smallest id, of each component of near duplicates."""
-    return _carried(simhash.near_duplicates(docs, carry=tuple(docs.columns)).where("keep"), docs)
+    """Keep one document, that of the smallest id, of each component of documents whose five-word shingles agree at 0.8 or more."""
+    return _carried(simhash.near_duplicates(docs, shingle=5, similarity=0.8, carry=tuple(docs.columns)).where("keep"), docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

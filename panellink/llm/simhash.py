@@ -1,7 +1,8 @@
-"""Near duplicates by SimHash: a byte-position inverted index with count filtering."""
+"""Near duplicates by SimHash (a byte-position inverted index with count filtering) or by the true similarity of shingle sets."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -21,22 +22,31 @@ MIN_SHARED_BYTES = 8 - MAX_BITS
 LONG_LIST = 64
 #: Shingles whose bits are unpacked at once.
 BLOCK = 1 << 16
+#: Least hashes in a band of a sketch, and the chance at most that a pair at just the least similarity shares no band.
+BAND_ROWS = 4
+MISS = 1e-6
 
 
-def simhash(text: str | None, shingle: int = 3) -> int:
-    """64-bit fingerprint: bit b is set where over half of the shingles' XXH64 (seed 42) have it.  No words: 0."""
+def _shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of the text's shingles, BLOCK at a time; of fewer words, that of all of them."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # on bytes: A-Z, and 20 and 09-0D only
     if not words:
-        return 0
+        return
     joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = ends[min(shingle, len(words)) - 1 :].tolist()
-    ones = np.zeros(64, np.int64)
     first = starts[:n].tolist()
     for k in range(0, n, BLOCK):
         pieces = [joined[a:b] for a, b in zip(first[k : k + BLOCK], last[k : k + BLOCK])]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(42)), np.uint64, len(pieces))
+        yield np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(42)), np.uint64, len(pieces))
+
+
+def simhash(text: str | None, shingle: int = 3) -> int:
+    """64-bit fingerprint: bit b is set where over half of the shingles' XXH64 (seed 42) have it.  No words: 0."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in _shingle_hashes(text, shingle):
+        n += len(h)
         ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
@@ -52,6 +62,68 @@ def fingerprint(shingle: int = 3):
     return of
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of the text's shingles, in order."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *_shingle_hashes(text, shingle)]))
+
+
+def bands(similarity: float) -> int:
+    """So many bands of BAND_ROWS least hashes that sets of at least this similarity share one but for a chance of MISS."""
+    return 1 if similarity >= 1 else math.ceil(math.log(MISS) / math.log(1 - similarity**BAND_ROWS))
+
+
+def sketch_keys(hashes: np.ndarray, n_bands: int) -> np.ndarray:
+    """One key for each band of a set's least hashes under fixed permutations; none for an empty set."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    a, b = np.random.Generator(np.random.PCG64(42)).integers(0, 2**64, (2, n_bands * BAND_ROWS), np.uint64)
+    least = np.full(n_bands * BAND_ROWS, 2**64 - 1, np.uint64)
+    for k in range(0, len(hashes), 4096):
+        np.minimum(least, (hashes[k : k + 4096, None] * (a | np.uint64(1)) + b).min(axis=0), out=least)
+    rows = least.astype("<u8").reshape(n_bands, BAND_ROWS)
+    return np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)), np.uint64, n_bands).view(np.int64)
+
+
+def sketch(shingle: int, n_bands: int):
+    """A column function: text to the digest of its shingle set and the keys of its bands."""
+
+    @pandas_udf("fp binary, keys array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            sets = [shingle_set(t, shingle) for t in texts]
+            yield pd.DataFrame({"fp": [xxhash.xxh3_128_digest(h.astype("<u8").tobytes()) for h in sets], "keys": [sketch_keys(h, n_bands) for h in sets]})
+
+    return of
+
+
+def shingle_bytes(shingle: int):
+    @pandas_udf("binary")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingle_set(t, shingle).astype("<u8").tobytes() for t in texts])
+
+    return of
+
+
+def similar(similarity: float):
+    """A column function of two shingle sets: whether their Jaccard similarity is at least this."""
+
+    @pandas_udf("boolean")
+    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for lefts, rights in batches:
+            out = []
+            for x, y in zip(lefts, rights):
+                a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-6:
+                    out.append(False)
+                    continue
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                out.append(both / (len(a) + len(b) - both) >= similarity)
+            yield pd.Series(out, dtype=bool)
+
+    return of
+
+
 def _byte(fp: str, k: int) -> str:
     return f"(shiftrightunsigned({fp}, {8 * k}) & 255)"
 
@@ -90,6 +162,32 @@ def linked_pairs(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def similar_pairs(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Edges (u, v) with the same connected components as all pairs of ``nodes`` (node, keys) that share a key and are similar.
+
+    ``texts`` has (node, text).  Each member of a key is first held against the key's least one; what is then
+    connected isn't compared again, all other pairs of a key are.  Every edge is verified on the whole sets.
+    """
+    postings = nodes.select("node", F.explode("keys").alias("key"))
+    heads = postings.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = stored(postings.join(heads, "key"), "similar-members")
+    sets = texts.join(members.select("node").distinct(), "node").select("node", shingle_bytes(shingle)("text").alias("set"))
+    sets = stored(sets, "similar-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a, b = sets.select(F.col("node").alias("u"), F.col("set").alias("a")), sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
+        return pairs.join(a, "u").join(b, "v").where(similar(similarity)("a", "b")).select("u", "v")
+
+    stars = stored(verified(members.where("node != head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()), "similar-stars")
+    held = members.join(components(stars), "node", "left").select("key", "node", "head", F.coalesce("root", "node").alias("root"))
+    held = stored(held, "similar-held")
+    open_keys = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    rest = stored(held.where("node != head").join(open_keys, "key"), "similar-rest")
+    others = rest.alias("x").join(rest.alias("y"), F.expr("x.key = y.key AND x.root < y.root"))
+    others = stored(others.select(F.expr("least(x.node, y.node)").alias("u"), F.expr("greatest(x.node, y.node)").alias("v")).distinct(), "similar-others")
+    return stars.unionByName(stored(verified(others), "similar-crossing"))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for the nodes of the undirected ``edges`` (u, v), root the least node reachable.
 
@@ -113,24 +211,41 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, similarity: float | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document: doc_id, fp (long), component_id, keep (true for one row of each component), ``carry``.
 
+    Documents link at MAX_BITS differing bits of their SimHash or fewer; where ``similarity`` is given, at that Jaccard
+    similarity of their sets of shingles or more, and fp is the set's digest (binary).
     component_id is the smallest doc_id reachable over links, the own one included.  The kept row has that id; of
-    several such rows, one is kept.  Null and blank texts have fingerprint 0 and link like any other.  Null ids
+    several such rows, one is kept.  Null and blank texts have fingerprint 0 (an empty set) and link like any other.  Null ids
     order last; a component of only null ids has a null id.  An empty table gives an empty result.
     """
-    d = docs.select(docs[id_col].alias("doc_id"), fingerprint(shingle)(docs[text_col]).alias("fp"), F.monotonically_increasing_id().alias("row"), *[docs[c].alias(f"c_{c}") for c in carry])
+    row = F.monotonically_increasing_id().alias("row")
+    carried = [docs[c].alias(f"c_{c}") for c in carry]
+    if similarity is None:
+        d = docs.select(docs[id_col].alias("doc_id"), fingerprint(shingle)(docs[text_col]).alias("fp"), row, *carried)
+    else:
+        found = sketch(shingle, bands(similarity))(docs[text_col]).alias("sketch")
+        d = docs.select(docs[id_col].alias("doc_id"), found, row, docs[text_col].alias("t"), *[c for c, name in zip(carried, carry) if name != text_col])
+        d = d.select("doc_id", "sketch.*", *[c for c in d.columns if c not in ("doc_id", "sketch")])
     d = stored(d, "simhash-rows")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
-    groups = stored(d.groupBy("fp").agg(F.min(rank).alias("least")), "simhash-groups")
-    roots = components(linked_pairs(groups.select("fp")))
-    labelled = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    if similarity is None:
+        groups = stored(d.groupBy("fp").agg(F.min(rank).alias("least")), "simhash-groups")
+        groups = groups.withColumn("own", F.col("fp"))
+        edges = linked_pairs(groups.select("fp"))
+    else:
+        groups = stored(d.groupBy("fp").agg(F.min(rank).alias("least"), F.first("keys").alias("keys")), "simhash-groups")
+        groups = groups.withColumn("own", F.col("least.row"))
+        edges = similar_pairs(groups.select(F.col("own").alias("node"), "keys"), d.select(F.col("row").alias("node"), F.col("t").alias("text")), shingle, similarity)
+    roots = components(edges)
+    labelled = groups.join(roots, groups["own"] == roots["node"], "left").select("fp", F.coalesce("root", "own").alias("root"), "least")
     labelled = stored(labelled, "simhash-labelled")
     firsts = stored(labelled.groupBy("root").agg(F.min("least").alias("first")), "simhash-firsts")
     by_fp = stored(labelled.join(firsts, "root").select("fp", "first"), "simhash-classes")
     out = d.join(by_fp, "fp")
-    return out.select("doc_id", "fp", F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("keep"), *[F.col(f"c_{c}").alias(f"carry_{c}") for c in carry])
+    of = lambda c: "t" if similarity is not None and c == text_col else f"c_{c}"
+    return out.select("doc_id", "fp", F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("keep"), *[F.col(of(c)).alias(f"carry_{c}") for c in carry])
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

@@ -157,6 +157,54 @@ def test_simhash_components(spark, rows):
     assert records(simhash.near_duplicates(table(spark, []))) == []
 
 
+def shingles(text, n=5):
+    w = (text or "").encode().lower().split()
+    return frozenset(b" ".join(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+def jaccard(a, b):
+    return 1.0 if a == b else len(a & b) / len(a | b)
+
+
+def edited(rng, text, share):
+    w = text.split()
+    for k in rng.sample(range(len(w)), max(1, round(share * len(w)))):
+        w[k] = f"edit{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_similarity_links_all_pairs_at_the_threshold(spark):
+    rng = random.Random(12)
+    texts = [None, "", " \n", "one two", "One  two", "three four"]
+    for n in range(60):
+        base = words(rng, rng.randint(60, 400))
+        texts += [base, *(edited(rng, base, s) for s in (0.01, 0.02, 0.03))]
+    base = words(rng, 200)
+    texts += [base] * 40 + [edited(rng, base, 0.01) for _ in range(120)]  # a large group, pairs of it on both sides of 0.8
+    docs = [(k, t) for k, t in enumerate(texts)] + [(None, "three four")]
+    sets = [shingles(t) for _, t in docs]
+    roots, missed = list(range(len(docs))), 0
+
+    def find(x):
+        while roots[x] != x:
+            x = roots[x]
+        return x
+
+    for a in range(len(docs)):
+        for b in range(a):
+            if jaccard(sets[a], sets[b]) >= 0.8:
+                roots[find(a)] = find(b)
+                missed += (plain_simhash(docs[a][1]) ^ plain_simhash(docs[b][1])).bit_count() > 2 if a < 100 else 0
+    least = {}
+    for k, (i, _) in enumerate(docs):
+        least[find(k)] = min((x for x in (least.get(find(k)), i) if x is not None), default=None)
+    got = records(simhash.near_duplicates(table(spark, docs, CLASHING), shingle=5, similarity=0.8, carry=("text", "row", "keep")))
+    assert missed > 30
+    assert Counter((r["doc_id"], r["component_id"], r["carry_text"]) for r in got) == Counter((i, least[find(k)], t) for k, (i, t) in enumerate(docs))
+    assert sum(r["keep"] for r in got) == len({find(k) for k in range(len(docs))})
+    assert records(simhash.near_duplicates(table(spark, []), shingle=5, similarity=0.8)) == []
+
+
 def test_links_within_long_lists(spark):
     rng = random.Random(1)
     centre = rng.getrandbits(64)

@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from panellink.llm import decontam, simhash, toxicity
-from tests.llm.test_operators import brute_components, brute_decontam, plain_simhash
+from tests.llm.test_operators import brute_components, brute_decontam, jaccard, plain_simhash, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,6 +49,14 @@ def test_stages(spark, tmp_path):
     assert all(r["n"] == r["d"] == r["m"] + 1 for r in slots)
 
 
+def test_near_dedup_keeps_no_pair_at_the_threshold(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, SF)
+    assert kept.columns == docs.columns
+    sets = [shingles(r["text"]) for r in kept.collect()]
+    assert not [1 for k, a in enumerate(sets) for b in sets[:k] if jaccard(a, b) >= 0.8]
+
+
 def test_contract_columns(spark):
     from panellink.llm.queries import oracle_sql, queries
 
