@@ -13,13 +13,14 @@ EPOCH = "1900-01-01"
 ROUNDS = 4
 
 #: What is looked for, in the order of the alternatives; each is validated before it is permuted.
-#: email | IBAN-like and card-like runs of digits | phone with area code | IPv4 | ISO or d.m.y date | SSN
+#: email | ISO date | SSN | phone with area code | card-like runs of digits, up to where a phone begins | IPv4
+_PHONE = r"(?:\([0-9]{3}\) ?|(?<![0-9])[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "date": r"(?<![0-9-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|(?<![0-9])[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?" + _PHONE,
+    "card": rf"(?<![0-9])(?:[0-9](?:[ -](?!{_PHONE}))?){{12,18}}[0-9](?![0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])",
 }
 ANY = "|".join(PATTERNS.values())
@@ -146,7 +147,7 @@ def _email(m: Column, key: str, inverse: bool) -> Column:
     return F.concat(left, right, domain)
 
 
-_KINDS = {"email": _email, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone, "ip": _ip}
+_KINDS = {"email": _email, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card, "ip": _ip}
 
 
 def pseudonym(match: Column, key: str, inverse: bool = False) -> Column:

@@ -456,6 +456,13 @@ def test_pseudonyms(spark):
     assert records(pii.pseudonymize(table(spark, []))) == []
 
 
+def test_phones_beside_other_numbers(spark):
+    texts = ["555-123-4567 555-987-6543", "id 12345 555-123-4567", "id 12345 555.123.4567"]
+    got = {r["doc_id"]: r for r in records(pii.pseudonymize(table(spark, [(k, t, None, None, None) for k, t in enumerate(texts)]), key="k"))}
+    assert [got[k]["n_phone"] for k in range(3)] == [2, 1, 1]
+    assert not [k for k, t in enumerate(texts) for n in ("555-123-4567", "555-987-6543", "555.123.4567") if n in got[k]["text"]]
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
