@@ -11,16 +11,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 _WRITTEN: list[str] = []
+#: A key of more rows than this, and than 1/HOT_KEYS of all rows, is joined by broadcast: there are HOT_KEYS such keys at most.
+HOT_ROWS, HOT_KEYS = 50_000, 10_000
+
+
+def col_of(df: DataFrame, name: str) -> Column:
+    """A column by its whole name, which may hold dots."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def carried(df: DataFrame, carry: tuple[str, ...]) -> list[Column]:
+    """The columns that come along, under names that can't clash: c_0, c_1, ..."""
+    return [col_of(df, c).alias(f"c_{k}") for k, c in enumerate(carry)]
+
+
+def held(carry: tuple[str, ...]) -> list[str]:
+    return [f"c_{k}" for k in range(len(carry))]
+
+
+def returned(carry: tuple[str, ...]) -> list[Column]:
+    return [F.col(f"c_{k}").alias(f"carry_{c}") for k, c in enumerate(carry)]
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a temporary folder that is then set."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset and the master is local (tests), a temporary folder that is then set.
+
+    On a cluster executors don't share local folders, so there an unset folder is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", "")
     if root:
         return root
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="panellink-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -51,9 +76,25 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def id_hash(c: Column) -> Column:
-    """Hex digest of an id of any type; null hashes like the empty string."""
-    return F.md5(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
+def row_hash(c: Column, text: Column) -> Column:
+    """Hex digest of an id of any type and a text; nulls hash like empty strings.  Rows that share an id are told apart by their texts."""
+    none = F.lit("")
+    return F.md5(F.concat(F.coalesce(c.cast("string"), none), F.lit("\x00"), F.md5(F.coalesce(text, none).cast("binary"))).cast("binary"))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, n_rows: int, n: str = "n", how: str = "inner") -> DataFrame:
+    """``rows`` joined ('inner' or 'left') with ``groups``, which has one row for each key and in ``n`` how many of the ``n_rows`` rows have it.
+
+    Keys of a great share of the rows would each land in one task; they are few by their share, so they are joined by
+    broadcast, and the rest by shuffle.  ``groups`` should be a stored table; its column ``n`` doesn't come along.
+    """
+    hot = max(HOT_ROWS, n_rows // HOT_KEYS)
+    heavy = groups.where(F.col(n) > hot).drop(n)
+    if heavy.limit(1).count() == 0:
+        return rows.join(groups.drop(n), key, how)
+    heavy = F.broadcast(heavy)  # HOT_KEYS rows at most
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(groups.where(F.col(n) <= hot).drop(n), key, how)
+    return rows.join(heavy, key).unionByName(rest)
 
 
 def numbered(df: DataFrame, keys: list[str], digest: str, ties: list[str], n_rows: int, out: str, extra: DataFrame | None = None) -> DataFrame:
