@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from panellink.llm.common import stored
+from panellink.llm.common import carried, col_of, join_groups, stored
 
 #: Two fingerprints link at this many differing bits or fewer, so at least 8 - 2 of their 8 bytes agree.
 MAX_BITS = 2
-MIN_SHARED_BYTES = 8 - MAX_BITS
+#: The index's lists are of four byte positions whose numbers' exclusive or is 0: 14 lists, each three positions in just one of them.
+#: Two fingerprints that agree in six bytes share 3 of these lists, in seven 7, in eight all, but in five only 1 and in fewer 1 at most.
+LISTS = tuple(q for q in combinations(range(8), 4) if q[0] ^ q[1] ^ q[2] ^ q[3] == 0)
+MIN_SHARED_LISTS = 3
 #: A posting list longer than this isn't paired; its members meet through single-bit neighbours instead.
 LONG_LIST = 64
 #: Shingles whose bits are unpacked at once.
@@ -129,32 +132,29 @@ def _byte(fp: str, k: int) -> str:
 
 
 def posting_lists(fps: DataFrame) -> DataFrame:
-    """(key, fp): six lists for each fingerprint, each of four byte positions (two of the four byte pairs).
+    """(key, fp): the inverted index of byte positions, LISTS lists for each fingerprint.
 
-    Two differing bits touch two bytes, and so two byte pairs at most: fingerprints that link share at least one list.
-    Lists of single bytes would hold 1/256 of all fingerprints each.
+    A list is of one value at each of four positions: a list of a single byte would hold 1/256 of all fingerprints.
     """
-    pairs = [(0, 1), (2, 3), (4, 5), (6, 7)]
-    keys = [f"{i}L * 4294967296L + " + " + ".join(f"{_byte('fp', k)} * {256**j}L" for j, k in enumerate(a + b)) for i, (a, b) in enumerate(combinations(pairs, 2))]
+    keys = [f"{i}L * 4294967296L + " + " + ".join(f"{_byte('fp', k)} * {256**j}L" for j, k in enumerate(q)) for i, q in enumerate(LISTS)]
     return fps.select(F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"), "fp")
 
 
 def linked_pairs(fps: DataFrame) -> DataFrame:
     """Edges (u, v), u < v, with the same connected components as all pairs of distinct fingerprints that link.
 
-    Lists of up to LONG_LIST members are paired; shared positional bytes are tallied for each pair, pairs
-    with MIN_SHARED_BYTES are kept and verified.  For members of longer lists, every fingerprint is posted under itself and
-    its 64 single-bit neighbours: two fingerprints meet under a neighbour exactly if they differ in two bits or
-    fewer, such a meeting holds 65 members at most, and all of them link, so edges to the least are enough.
+    For each pair the lists that it shares are tallied; MIN_SHARED_LISTS is what any pair of MAX_BITS differing bits, which touch two
+    bytes at most, is sure to reach, and only six equal bytes or more reach it.  The pairs that do are verified by their bits.
+    Lists of more than LONG_LIST members aren't paired: their members are posted under themselves and
+    their 64 single-bit neighbours, where two fingerprints meet exactly if they differ in two bits or
+    fewer.  Such a meeting holds 65 members at most, and all of them link, so edges to the least are enough.
     """
     postings = posting_lists(fps)
     lists = stored(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-lists")
     shared = stored(postings.join(lists, "key"), "simhash-shared")
     short = shared.where(F.col("n") <= LONG_LIST).select("key", "fp")
-    tally = " + ".join(f"int({_byte('a.fp ^ b.fp', k)} = 0)" for k in range(8))
-    pairs = short.alias("a").join(short.alias("b"), F.expr("a.key = b.key AND a.fp < b.fp"))
-    pairs = pairs.where(F.expr(f"{tally} >= {MIN_SHARED_BYTES}")).where(F.expr(f"bit_count(a.fp ^ b.fp) <= {MAX_BITS}"))
-    pairs = pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    pairs = short.alias("a").join(short.alias("b"), F.expr("a.key = b.key AND a.fp < b.fp")).groupBy(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).agg(F.count(F.lit(1)).alias("tally"))
+    pairs = pairs.where(F.col("tally") >= MIN_SHARED_LISTS).where(F.expr(f"bit_count(u ^ v) <= {MAX_BITS}")).select("u", "v")
     members = shared.where(F.col("n") > LONG_LIST).select("fp").distinct()
     near = members.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), b -> fp ^ shiftleft(1L, b)))")).alias("near"))
     met = near.groupBy("near").agg(F.min("fp").alias("u"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)  # 65 at most
@@ -221,31 +221,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order last; a component of only null ids has a null id.  An empty table gives an empty result.
     """
     row = F.monotonically_increasing_id().alias("row")
-    carried = [docs[c].alias(f"c_{c}") for c in carry]
+    doc_id, text = col_of(docs, id_col), col_of(docs, text_col)
     if similarity is None:
-        d = docs.select(docs[id_col].alias("doc_id"), fingerprint(shingle)(docs[text_col]).alias("fp"), row, *carried)
+        d = docs.select(doc_id.alias("doc_id"), fingerprint(shingle)(text).alias("fp"), row, *carried(docs, carry))
     else:
-        found = sketch(shingle, bands(similarity))(docs[text_col]).alias("sketch")
-        d = docs.select(docs[id_col].alias("doc_id"), found, row, docs[text_col].alias("t"), *[c for c, name in zip(carried, carry) if name != text_col])
+        found = sketch(shingle, bands(similarity))(text).alias("sketch")
+        d = docs.select(doc_id.alias("doc_id"), found, row, text.alias("t"), *[c for c, name in zip(carried(docs, carry), carry) if name != text_col])
         d = d.select("doc_id", "sketch.*", *[c for c in d.columns if c not in ("doc_id", "sketch")])
     d = stored(d, "simhash-rows")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+    own = F.col("fp") if similarity is None else F.col("least.row")
+    groups = d.groupBy("fp").agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("n"), *([] if similarity is None else [F.first("keys").alias("keys")]))
+    groups = stored(groups.withColumn("own", own), "simhash-groups")
     if similarity is None:
-        groups = stored(d.groupBy("fp").agg(F.min(rank).alias("least")), "simhash-groups")
-        groups = groups.withColumn("own", F.col("fp"))
         edges = linked_pairs(groups.select("fp"))
     else:
-        groups = stored(d.groupBy("fp").agg(F.min(rank).alias("least"), F.first("keys").alias("keys")), "simhash-groups")
-        groups = groups.withColumn("own", F.col("least.row"))
         edges = similar_pairs(groups.select(F.col("own").alias("node"), "keys"), d.select(F.col("row").alias("node"), F.col("t").alias("text")), shingle, similarity)
     roots = components(edges)
-    labelled = groups.join(roots, groups["own"] == roots["node"], "left").select("fp", F.coalesce("root", "own").alias("root"), "least")
+    labelled = groups.join(roots, groups["own"] == roots["node"], "left").select("fp", F.coalesce("root", "own").alias("root"), "least", "n")
     labelled = stored(labelled, "simhash-labelled")
     firsts = stored(labelled.groupBy("root").agg(F.min("least").alias("first")), "simhash-firsts")
-    by_fp = stored(labelled.join(firsts, "root").select("fp", "first"), "simhash-classes")
-    out = d.join(by_fp, "fp")
-    of = lambda c: "t" if similarity is not None and c == text_col else f"c_{c}"
-    return out.select("doc_id", "fp", F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("keep"), *[F.col(of(c)).alias(f"carry_{c}") for c in carry])
+    by_fp = stored(labelled.join(firsts, "root").select("fp", "first", "n"), "simhash-classes")
+    out = join_groups(d, by_fp, "fp", d.count())
+    columns = [F.col("t" if similarity is not None and c == text_col else f"c_{k}").alias(f"carry_{c}") for k, c in enumerate(carry)]
+    return out.select("doc_id", "fp", F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("keep"), *columns)
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
