@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -10,12 +9,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.window import Window as W
 
-WORD = re.compile(r"[^\W\d_]+")
+from panellink.llm.common import col_of
+
+#: A letter, and the letters and marks (vowel signs, accents) that follow it.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Labelled rows that the field is fitted on, at most (those with the smallest digests of their id), the bytes of
 #: their texts together, and the words after which no more rows are taken for training sequences.
 MAX_LABELLED, MAX_BYTES, MAX_WORDS = 3_000, 16_000_000, 400_000
@@ -49,7 +51,7 @@ def _hashed(codes: np.ndarray, at: np.ndarray, n: int, kind: int) -> np.ndarray:
 
 def word_features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """(slot, word) pairs: each word's bias, affixes of one to three letters, bigrams, trigrams and lexicon."""
-    marked = ["\x02" + (w if len(w) <= 40 else w[:20] + w[-20:]) + "\x03" for w in words]
+    marked = [f"\x02{w}\x03" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     ends = np.cumsum(sizes)
@@ -183,15 +185,19 @@ def train(texts: list[tuple[str, str]], max_words: int = MAX_WORDS, rounds: int
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, max_labelled: int = MAX_LABELLED) -> LanguageModel:
     """Learn from rows with text and language whose crc32(id as text) mod 5 is not 0.
 
-    Whole rows are taken in the order of the digest of their id, ``max_labelled`` rows and MAX_BYTES bytes at most.
+    Whole rows are taken in the order of the digest of their id, ``max_labelled`` rows and MAX_BYTES bytes at most; an id whose
+    texts would pass that is skipped, not the end of the sample.
     """
-    text_id = docs[id_col].cast("string")
-    d = docs.select(text_id.alias("id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
+    d = docs.select(col_of(docs, id_col).cast("string").alias("id"), col_of(docs, text_col).alias("text"), col_of(docs, lang_col).cast("string").alias("lang"))
     d = d.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.crc32(F.col("id").cast("binary")) % 5 != 0))
-    sizes = d.groupBy("id").agg(F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.md5("id"), "id").limit(max_labelled)
-    so_far = F.sum("bytes").over(W.partitionBy(F.lit(1)).orderBy(F.md5("id"), "id"))  # over max_labelled rows
-    chosen = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= MAX_BYTES).select("id")
-    rows = d.join(F.broadcast(chosen), "id").select("id", "text", "lang").collect()  # MAX_BYTES at most
+    sizes = d.groupBy("id").agg(F.sum(F.octet_length("text")).alias("bytes")).where(F.col("bytes") <= MAX_BYTES).orderBy(F.md5("id"), "id").limit(max_labelled)
+    chosen, taken = [], 0
+    for r in sizes.collect():  # max_labelled rows at most
+        if taken + r["bytes"] <= MAX_BYTES:
+            chosen.append((r["id"],))
+            taken += r["bytes"]
+    ids = docs.sparkSession.createDataFrame(chosen, "id string")
+    rows = d.join(F.broadcast(ids), "id").select("id", "text", "lang").collect()  # MAX_BYTES at most
     return train([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (zlib.crc32(r["id"].encode()), r["id"], r["text"]))])
 
 
@@ -226,7 +232,8 @@ def _classify(texts: list[str | None], model: LanguageModel, ids: dict[str, int]
 def languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score: only the whole text is an input.
 
-    Texts that are null or have no letter are ``und`` with score 0.  Very long texts are labelled whole.  Repeated rows get equal
+    Texts that are null or have no letter are ``und`` with score 0; numbers such as superscripts or fractions aren't letters.  Very long
+    texts are labelled whole.  Of languages with equal sums, the first in code point order is predicted.  Repeated rows get equal
     results; an empty table gives an empty result; a model without labels gives ``und`` throughout.
     """
     @pandas_udf("lang string, score double")
@@ -239,7 +246,7 @@ def languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", tex
                 found += _classify(texts.iloc[k : k + GROUP].tolist(), model, ids, table)
             yield pd.DataFrame(found, columns=["lang", "score"])
 
-    return docs.select(docs[id_col].alias("doc_id"), of(docs[text_col]).alias("p")).select("doc_id", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+    return docs.select(col_of(docs, id_col).alias("doc_id"), of(col_of(docs, text_col)).alias("p")).select("doc_id", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
 def word_labels(text: str | None, model: LanguageModel) -> list[tuple[str, str, float]]:
