@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from panellink.llm.common import stored
+from panellink.llm.common import carried, col_of, returned, stored
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Labelled rows that the classifier is fitted on, at most (those with the smallest digests of their id).
@@ -26,13 +26,15 @@ STEMS = (6, 5, 4)
 KEPT_TOKENS = 300_000
 #: Weight of the Dirichlet prior, whose frequencies are those of all labelled rows, as a share of their tokens.
 PRIOR = 0.05
+#: Parts of the labelled rows: each part's segments, for the calibration, are scored by the tokens of the others.
+FOLDS = 4
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     scores: dict[str, float]  #: log-odds of the significant tokens, and of stems as ``stem*``
     drift: float  #: score of every other token, below 0
-    lam: float  #: Karlin-Altschul parameters of segment scores in clean text
+    lam: float  #: extreme-value law of the best segment in clean text: P(S <= x) = exp(-k n exp(-lam x))
     k: float
     bias: float  #: logistic calibration of (normalized maximum, significant sum)
     slopes: tuple[float, float]
@@ -71,25 +73,32 @@ def unit_scores(counts: list[tuple[str, int, int]], n1: int, n0: int) -> dict[st
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (start, end, score) of ``scores``, in one left-to-right pass.
+    """All maximal-scoring segments (start, end, score) of ``scores``, in one left-to-right pass of linear time.
 
     Each positive score opens a candidate (its left and right cumulative sums); a candidate is merged with the nearest
-    one to its left whose left sum is smaller, as long as that one's right sum is smaller too.
+    one to its left whose left sum is smaller, as long as that one's right sum is smaller too.  Every candidate keeps a pointer to that
+    nearest one, so the search skips those it has passed once; a candidate whose left sum is a new minimum settles all before it.
     """
     total = np.cumsum(scores)
-    held: list[tuple[int, int, float, float]] = []
-    for at in np.flatnonzero(scores > 0).tolist():
-        new = (at, at + 1, float(total[at] - scores[at]), float(total[at]))
+    done: list[tuple[int, int, float]] = []
+    held: list[tuple[int, int, float, float, int]] = []
+    at = np.flatnonzero(scores > 0)
+    for k, left, right in zip(at.tolist(), (total[at] - scores[at]).tolist(), total[at].tolist()):
+        new = (k, k + 1, left, right)
         while True:
             j = len(held) - 1
             while j >= 0 and held[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or held[j][3] >= new[3]:
-                held.append(new)
+                j = held[j][4]
+            if j < 0:
+                done += [(x[0], x[1], x[3] - x[2]) for x in held]
+                held = [(*new, -1)]
+                break
+            if held[j][3] >= new[3]:
+                held.append((*new, j))
                 break
             new = (held[j][0], new[1], held[j][2], new[3])
             del held[j:]
-    return [(a, b, right - left) for a, b, left, right in held]
+    return done + [(x[0], x[1], x[3] - x[2]) for x in held]
 
 
 def passages(text: str | None, model: ToxicityModel, scores: _Scores) -> tuple[int, list[tuple[int, int, float]]]:
@@ -106,35 +115,49 @@ def passages(text: str | None, model: ToxicityModel, scores: _Scores) -> tuple[i
     return len(tokens), [(int(at[a // 2]), int(at[(b - 1) // 2]) + 1, s) for a, b, s in maximal_segments(steps)]
 
 
-def features(text: str | None, model: ToxicityModel, scores: _Scores) -> tuple[float, float]:
-    """Extreme-value features: lam * S - ln(K n) of the best segment, and the sum over segments where that is over 0."""
-    n, found = passages(text, model, scores)
-    if not found:
+def _aggregated(segments: list[float], n: int, model: ToxicityModel) -> tuple[float, float]:
+    """Extreme-value features of segment scores: the Gumbel tail of the best one, and the sum over those above clean text's level."""
+    if not segments:
         return 0.0, 0.0
-    normalized = [model.lam * s - math.log(max(model.k * n, 1e-9)) for _, _, s in found]
+    level = math.log(max(model.k * n, 1e-9))
+    normalized = [model.lam * s - level for s in segments]
     best = max(normalized)
-    # Gumbel tail: the chance that clean text of this length has a segment as good
+    # the chance that clean text of this length has a segment as good
     tail = -math.log(-math.expm1(-math.exp(-best))) if best < 30 else best
     return tail, math.log1p(sum(x for x in normalized if x > 0))
 
 
-def gumbel_parameters(tokens: list[tuple[float, int]], drift: float) -> tuple[float, float]:
-    """(lam, K): lam solves E[exp(lam * s)] = 1 over clean token scores; K is their drift over the mean upward step."""
-    s = np.array([x for x, _ in tokens] or [drift])
-    p = np.array([n for _, n in tokens] or [1], float)
-    p /= p.sum()
-    if not (s > 0).any():
+def features(text: str | None, model: ToxicityModel, scores: _Scores) -> tuple[float, float]:
+    n, found = passages(text, model, scores)
+    return _aggregated([s for _, _, s in found], n, model)
+
+
+def gumbel_parameters(maxima: list[tuple[float, int]]) -> tuple[float, float]:
+    """(lam, K) of the law P(best score <= x) = exp(-K n exp(-lam x)) of a clean text of n tokens, by maximum likelihood.
+
+    ``maxima`` has (best segment score, tokens) of clean texts; texts without a positive score are known to be at 0 or below.
+    For each lam the likeliest K is the number of positive maxima over the sum of n exp(-lam x); lam is where the slope of the
+    likelihood is 0, found by bisection.  With fewer than two different maxima there is nothing to fit: (1, 1e-3).
+    """
+    x, n = np.array([s for s, _ in maxima], float), np.array([max(m, 1) for _, m in maxima], float)
+    up = x > 0
+    if len(np.unique(x[up])) < 2:
         return 1.0, 1e-3
-    low, high = 1e-6, 1.0
-    value = lambda lam: float((p * np.exp(np.clip(lam * s, -50, 50))).sum())
-    while value(high) < 1 and high < 64:
+
+    def weights(lam: float) -> np.ndarray:
+        return n * np.where(up, np.exp(-lam * np.maximum(x, 0)), 1.0)
+
+    def slope(lam: float) -> float:
+        w = weights(lam)
+        return up.sum() / lam - x[up].sum() + up.sum() * float((w * np.maximum(x, 0)).sum() / w.sum())
+
+    low, high = 1e-3, 1.0
+    while slope(high) > 0 and high < 64:
         high *= 2
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if value(mid) < 1 else (low, mid)
-    mean = float(-(p * s).sum())
-    k = max(1e-6, mean * low * float((p * np.maximum(s, 0)).sum()) / max(float((p * s * s).sum()), 1e-9))
-    return low, k
+        low, high = (mid, high) if slope(mid) > 0 else (low, mid)
+    return low, max(float(up.sum() / weights(low).sum()), 1e-9)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -155,40 +178,75 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, label_id: str = "doc_id", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> ToxicityModel:
     """Learn from labelled rows whose crc32(id as text) mod 5 is not 0, ``max_labelled`` of them at most.
 
+    Token scores come from all of them; the extreme-value law and the logistic calibration are fitted on segments that each
+    of FOLDS parts gets from the token scores of the others, so no row is calibrated on scores that it made itself.
+
     A row labelled more than once has its greatest label; null labels and null texts teach nothing.  Without both labels, the
     model scores everything with the share of toxic rows.
     """
-    text_id = labels[label_id].cast("string")
-    usable = labels.where(labels[label_col].isNotNull() & (F.crc32(text_id.cast("binary")) % 5 != 0))
-    chosen = usable.groupBy(text_id.alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label")).orderBy(F.md5("id"), "id").limit(max_labelled)
-    d = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].alias("text")).where("text IS NOT NULL")
-    sample = stored(d.join(F.broadcast(chosen), "id").select("label", "text"), "toxicity-sample")  # max_labelled ids at most
+    text_id = col_of(labels, label_id).cast("string")
+    label = col_of(labels, label_col)
+    usable = labels.where(label.isNotNull() & (F.crc32(text_id.cast("binary")) % 5 != 0))
+    chosen = usable.groupBy(text_id.alias("id")).agg(F.max(label.cast("int")).alias("label")).orderBy(F.md5("id"), "id").limit(max_labelled)
+    fold = (F.conv(F.substring(F.md5("id"), 25, 8), 16, 10).cast("long") % FOLDS).cast("int")
+    chosen = chosen.withColumn("fold", fold)
+    d = docs.select(col_of(docs, id_col).cast("string").alias("id"), col_of(docs, text_col).alias("text")).where("text IS NOT NULL")
+    sample = stored(d.join(F.broadcast(chosen), "id").select("label", "fold", "text"), "toxicity-sample")  # max_labelled ids at most
     # a token counts once for each pair of neighbours, so copies and near copies of a passage count once
-    words = sample.select("label", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w"))
+    words = sample.select("label", "fold", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w"))
     zipped = F.explode(F.arrays_zip("w", F.concat(F.array(F.lit("")), "w").alias("before"), F.expr("slice(w, 2, greatest(size(w), 1))").alias("after")))
-    contexts = words.where(F.size("w") > 0).select("label", zipped.alias("z")).select("label", F.col("z.w").alias("t"), F.xxhash64("z.before", "z.after").alias("c")).where("t IS NOT NULL").distinct()
-    tokens = contexts.groupBy("t").agg(F.sum("label").alias("y1"), F.sum(1 - F.col("label")).alias("y0"))
-    tokens = stored(tokens, "toxicity-tokens")
+    contexts = words.where(F.size("w") > 0).select("label", "fold", zipped.alias("z")).select("label", "fold", F.col("z.w").alias("t"), F.xxhash64("z.before", "z.after").alias("c")).where("t IS NOT NULL")
+    contexts = contexts.groupBy("label", "t", "c").agg(F.bit_or(F.expr("shiftleft(1, fold)")).alias("folds"))
+    # counts over all folds, and over all but each one
+    left = [F.lit(True), *[F.col("folds").bitwiseAND(F.lit(((1 << FOLDS) - 1) ^ (1 << k))) != 0 for k in range(FOLDS)]]
+    counts = [c for k, kept in enumerate(left) for c in (F.sum(F.when(kept & (F.col("label") == 1), 1).otherwise(0)).alias(f"y1_{k}"), F.sum(F.when(kept & (F.col("label") == 0), 1).otherwise(0)).alias(f"y0_{k}"))]
+    names = [f"y{y}_{k}" for k in range(FOLDS + 1) for y in (1, 0)]
+    tokens = stored(contexts.groupBy("t").agg(*counts), "toxicity-tokens")
     units = [F.col("t"), *[F.when(F.length("t") > n, F.concat(F.substring("t", 1, n), F.lit("*"))) for n in STEMS]]
-    grouped = tokens.select(F.explode(F.array(*units)).alias("u"), "y1", "y0").where("u IS NOT NULL").groupBy("u").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
-    n1, n0 = (int(x or 0) for x in tokens.agg(F.sum("y1"), F.sum("y0")).first())
-    held = [tuple(r) for r in grouped.where(f"y1 >= {MIN_CONTEXTS}").orderBy("u").collect()]  # units of max_labelled rows
-    scores = unit_scores(held, n1, n0) if n1 and n0 else {}
-    # each token falls by the drift, at least by twice what clean text gains a token
-    own = _Scores(scores)
-    gains = [(own[t], y0) for t, _, y0 in held if not t.endswith("*") and y0 and own[t] is not None]
-    drift = -max(0.05, 2 * sum(s * y0 for s, y0 in gains) / max(n0, 1))
-    lam, k = gumbel_parameters([*gains, (drift, max(1, n0 - sum(y0 for _, y0 in gains)))], drift)
-    raw = ToxicityModel(scores, drift, lam, k, 0.0, (0.0, 0.0))
-    seen = sample.select("label", _features(raw)("text").alias("f")).select("label", "f.*").collect()  # max_labelled rows
+    grouped = tokens.select(F.explode(F.array(*units)).alias("u"), *names).where("u IS NOT NULL").groupBy("u").agg(*[F.sum(c).alias(c) for c in names])
+    totals = [int(x or 0) for x in tokens.agg(*[F.sum(c) for c in names]).first()]
+    units_held = grouped.where(f"y1_0 >= {MIN_CONTEXTS}").orderBy("u").collect()  # units of max_labelled rows
+
+    def scored(k: int) -> ToxicityModel:
+        """The token scores without fold k - 1, or of all folds; the rest isn't fitted yet."""
+        n1, n0 = totals[2 * k : 2 * k + 2]
+        found = [(r["u"], int(r[f"y1_{k}"]), int(r[f"y0_{k}"])) for r in units_held if r[f"y1_{k}"] >= MIN_CONTEXTS]
+        scores = unit_scores(found, n1, n0) if n1 and n0 else {}
+        # each token falls by the drift, at least by twice what clean text gains a token
+        own = _Scores(scores)
+        gains = sum(own[t] * y0 for t, _, y0 in found if not t.endswith("*") and y0 and own[t] is not None)
+        return ToxicityModel(scores, -max(0.05, 2 * gains / max(n0, 1)), 1.0, 1e-3, 0.0, (0.0, 0.0))
+
+    full, others = scored(0), [scored(k + 1) for k in range(FOLDS)]
+    # the calibration is fitted on segments that were scored by the other folds' tokens alone
+    seen = [(r["label"], r["best"], r["tokens"], r["segments"]) for r in sample.select("label", _segments(others)("text", "fold").alias("s")).select("label", "s.*").collect()]  # max_labelled rows
+    lam, k = gumbel_parameters([(best, n) for label, best, n, _ in seen if label == 0])
+    full = replace(full, lam=lam, k=k)
     if not seen:
-        return raw
-    y = np.array([r["label"] for r in seen], float)
+        return full
+    y = np.array([label for label, *_ in seen], float)
     if y.min() == y.max():
         rate = (y.sum() + 0.5) / (len(y) + 1)
-        return ToxicityModel(scores, drift, lam, k, math.log(rate / (1 - rate)), (0.0, 0.0))
-    w = fit_logistic(np.array([(r["tail"], r["mass"]) for r in seen]), y)
-    return ToxicityModel(scores, drift, lam, k, float(w[0]), (float(w[1]), float(w[2])))
+        return replace(full, bias=math.log(rate / (1 - rate)))
+    w = fit_logistic(np.array([_aggregated(list(segments), n, full) for *_, n, segments in seen]), y)
+    return replace(full, bias=float(w[0]), slopes=(float(w[1]), float(w[2])))
+
+
+def _segments(models: list[ToxicityModel]):
+    """A column function of text and fold: tokens, the best segment's score (0 if there is none) and all segments' scores."""
+
+    @pandas_udf("tokens int, best double, segments array<double>")
+    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        scores = [_Scores(m.scores) for m in models]
+        for texts, folds in batches:
+            rows = []
+            for t, f in zip(texts, folds):
+                n, found = passages(t, models[f], scores[f])
+                own = [s for _, _, s in found]
+                rows.append((n, max(own, default=0.0), own))
+            yield pd.DataFrame(rows, columns=["tokens", "best", "segments"])
+
+    return of
 
 
 def _features(model: ToxicityModel):
@@ -220,13 +278,13 @@ def toxic_passages(model: ToxicityModel):
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score (0 to 1), predicted, ``carry``: only the text is an input of a score.
 
-    Null and empty texts have no segment and score the calibrated base value.  Repeated rows score alike; an empty table gives an
-    empty result.
+    Null and empty texts have no segment and score the calibrated base value.  Very long texts are scored whole, in time linear in their
+    words.  Repeated rows score alike; an empty table gives an empty result.
     """
-    d = docs.select(docs[id_col].alias("doc_id"), _features(model)(docs[text_col]).alias("f"), *[docs[c].alias(f"c_{c}") for c in carry])
+    d = docs.select(col_of(docs, id_col).alias("doc_id"), _features(model)(col_of(docs, text_col)).alias("f"), *carried(docs, carry))
     z = F.lit(model.bias) + F.lit(model.slopes[0]) * F.col("f.tail") + F.lit(model.slopes[1]) * F.col("f.mass")
     score = F.round(1 / (1 + F.exp(-z)), 6)
-    return d.select("doc_id", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), *[F.col(f"c_{c}").alias(f"carry_{c}") for c in carry])
+    return d.select("doc_id", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), *returned(carry))
 
 
 def held_out(id_col: str):
