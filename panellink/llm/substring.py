@@ -1,4 +1,4 @@
-"""Substring dedup by hashing lines and the sentences that lines hold."""
+"""Substring dedup by hashing lines and the sentences that lines hold, and removing repeated passages of them."""
 
 from __future__ import annotations
 
@@ -12,107 +12,127 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from panellink.llm.common import stored
+from panellink.llm.common import carried, col_of, held, join_groups, returned, stored
 
-#: Units of fewer words are only judged together with the sentences beside them, until they are this many words.
+#: Units of fewer words are only judged together with those beside them, until they are this many words.
 MIN_WORDS = 6
+#: A run of units that stand elsewhere too is removed from this many words on.  Passages of over 50 words lose some at their ends,
+#: where a sentence that they share with the text around them isn't a repeated unit.
+MIN_PASSAGE = 30
+#: Letters that count as a word where blanks don't part words.
+LETTERS_A_WORD = 12
 
-_LINE = re.compile(r"[^\n]*\n?")
-_SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+")
+_UNIT = re.compile(r"[^.!?\n\u3002\uff01\uff1f]*(?:[.!?\u3002\uff01\uff1f]+\s*|\n\s*|\Z)")
 _DROP = re.compile(r"[\W_]+")
 
 
-def _digest(text: str) -> bytes:
-    """Digest of a unit in its normal form: NFKC, lower case, runs of other than letters and digits as one blank."""
+def _normal(text: str) -> str:
+    """A unit's normal form: NFKC, lower case, runs of other than letters and digits as one blank."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    return hashlib.md5(_DROP.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass")).digest()
+    return _DROP.sub(" ", text.lower()).strip()
 
 
-def units(text: str | None) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of each unit: lines of MIN_WORDS words or more, and where a line has several sentences, those.
+def _size(normal: str) -> int:
+    """Words of a normal form; where blanks don't part words, one for each LETTERS_A_WORD letters."""
+    return max(normal.count(" ") + 1, -(-len(normal) // LETTERS_A_WORD)) if normal else 0
 
-    A sentence of fewer words is hashed together with those before it on its line, and if these are too few with those after.
+
+def units(text: str | None) -> Iterator[tuple[int, int, bytes, int]]:
+    """(start, end, digest, words) of each unit: the text's lines, and the sentences of those that hold several.
+
+    Units follow one another without gaps; what has neither letters nor digits belongs to the unit before it.  A unit of fewer than MIN_WORDS
+    words is hashed together with those before it, and if these are too few with those after, across lines; a text of fewer
+    words than that has no unit.
     """
-    for m in _LINE.finditer(text or ""):
-        line = m[0]
-        if not line or line.isspace():
-            continue
-        if len(line.split(None, MIN_WORDS)) < MIN_WORDS:
-            continue
-        yield m.start(), m.end(), _digest(line)
-        parts = [(x.start(), x.end()) for x in _SENTENCE.finditer(line)]
-        if len(parts) < 2:
-            continue
-        words = [len(line[a:b].split(None, MIN_WORDS)) for a, b in parts]
-        for k, (a, b) in enumerate(parts):
-            if words[k] >= MIN_WORDS:
-                yield m.start() + a, m.start() + b, _digest(line[a:b])
-                continue
-            low, high, n = k, k, words[k]
-            while n < MIN_WORDS and low:
-                low -= 1
-                n += words[low]
-            while n < MIN_WORDS and high + 1 < len(parts):
-                high += 1
-                n += words[high]
-            yield m.start() + a, m.start() + b, _digest(line[parts[low][0] : parts[high][1]]) + bytes([k - low])
+    parts: list[list] = []
+    for m in _UNIT.finditer(text or ""):
+        normal = _normal(m[0])
+        if normal:
+            parts.append([m.start(), m.end(), normal, _size(normal)])
+        elif parts:
+            parts[-1][1] = m.end()
+    for k, (a, b, normal, n) in enumerate(parts):
+        low = high = k
+        total = n
+        while total < MIN_WORDS and low:
+            low -= 1
+            total += parts[low][3]
+        while total < MIN_WORDS and high + 1 < len(parts):
+            high += 1
+            total += parts[high][3]
+        if total < MIN_WORDS:
+            return
+        digest = hashlib.md5(" ".join(p[2] for p in parts[low : high + 1]).encode("utf-8", "surrogatepass")).digest()
+        yield a, b, digest + bytes([k - low]), n
 
 
 def text_units(text: Column) -> Column:
-    @pandas_udf("array<struct<start:int, end:int, digest:binary>>")
+    @pandas_udf("array<struct<start:int, end:int, digest:binary, words:int>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([[{"start": a, "end": b, "digest": d} for a, b, d in units(t)] for t in texts])
+            yield pd.Series([[{"start": a, "end": b, "digest": d, "words": n} for a, b, d, n in units(t)] for t in texts])
 
     return of(text)
 
 
-def cut(text: str | None, spans: list[tuple[int, int]]) -> tuple[str | None, list[dict]]:
-    """The text without its spans, and the spans merged, with their offsets in the original text."""
-    merged: list[list[int]] = []
-    for a, b in sorted(spans):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
+def runs(spans: list[tuple[int, int, int]], least: int) -> list[tuple[int, int]]:
+    """Spans (start, end, words) that follow one another joined to runs, and of these the ones of ``least`` words or more."""
+    out: list[list[int]] = []
+    for a, b, n in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+            out[-1][2] += n
         else:
-            merged.append([a, b])
-    if text is None or not merged:
+            out.append([a, b, n])
+    return [(a, b) for a, b, n in out if n >= least]
+
+
+def cut(text: str | None, spans: list[tuple[int, int]]) -> tuple[str | None, list[dict]]:
+    """The text without its spans (in order, apart from each other), and the spans, with their offsets in the original text."""
+    if text is None or not spans:
         return text, []
-    kept = "".join(text[p:a] for p, a in zip([0, *(b for _, b in merged)], [*(a for a, _ in merged), len(text)]))
-    return kept, [{"start": a, "end": b} for a, b in merged]
+    kept = "".join(text[p:a] for p, a in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(text)]))
+    return kept, [{"start": a, "end": b} for a, b in spans]
 
 
-def without(text: Column, spans: Column) -> Column:
+def without(text: Column, spans: Column, least: int) -> Column:
     @pandas_udf("text string, removed array<struct<start:int, end:int>>, n_removed int")
     def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, found in batches:
-            rows = [cut(t, [(int(x["start"]), int(x["end"])) for x in s] if s is not None else []) for t, s in zip(texts, found)]
+            rows = [cut(t, runs([(int(x["start"]), int(x["end"]), int(x["words"])) for x in s], least) if s is not None else []) for t, s in zip(texts, found)]
             yield pd.DataFrame([(t, s, len(s)) for t, s in rows], columns=["text", "removed", "n_removed"])
 
     return of(text, spans)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_passage: int = MIN_PASSAGE, within: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text (kept), removed (spans of code points in the original text), n_removed, n_chars_removed, ``carry``.
 
     All units are grouped by digest over all documents; the occurrence of the smallest (doc_id, digest of the text, start)
-    stays and the others go.  Null ids rank last.  A null text stays null, an empty one empty.  Rows with equal
+    stays.  The others are repeats; runs of them of ``min_passage`` words or more go.  With ``within``, a unit that the kept occurrence's own
+    document has again is a repeat too; else a document's inner repetition is left to quality filters.
+
+    Null ids rank last.  A null text stays null, an empty one empty.  Rows with equal
     id and text are one document: they all keep what it keeps.  An empty table gives an empty result.
     """
-    key = [docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("hash")]
-    found = docs.select(*key, F.explode(text_units(docs[text_col])).alias("u")).select("doc_id", "hash", "u.*")
+    doc_id, text = col_of(docs, id_col), col_of(docs, text_col)
+    key = [doc_id.alias("doc_id"), F.xxhash64(text).alias("hash")]
+    found = docs.select(*key, F.explode(text_units(text)).alias("u")).select("doc_id", "hash", "u.*")
     found = stored(found, "substring-units")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("hash").alias("hash"), F.col("start").alias("start"))
-    firsts = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    firsts = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     firsts = stored(firsts, "substring-firsts")
-    later = found.join(firsts, "digest").where(~rank.eqNullSafe(F.col("first")))
-    spans = stored(later.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "substring-spans")  # of one text
-    d = docs.select(*key, docs[text_col].alias("text"), *[docs[c].alias(f"c_{c}") for c in carry]).alias("d")
+    same = F.col("first.id").eqNullSafe(F.col("doc_id")) & (F.col("first.hash") == F.col("hash"))
+    kept = same & (F.col("first.start") == F.col("start")) if within else same
+    later = join_groups(found, firsts, "digest", found.count()).where(~kept)
+    spans = stored(later.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("start", "end", "words")).alias("spans")), "substring-spans")  # of one text
+    d = docs.select(*key, text.alias("text"), *carried(docs, carry)).alias("d")
     s = spans.alias("s")
     out = d.join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.hash") == F.col("s.hash")), "left")
-    out = out.select("d.doc_id", without(F.col("d.text"), F.col("s.spans")).alias("w"), *[F.col(f"d.c_{c}").alias(f"carry_{c}") for c in carry])
+    out = out.select("d.doc_id", without(F.col("d.text"), F.col("s.spans"), min_passage).alias("w"), *[f"d.{c}" for c in held(carry)])
     chars = F.aggregate("w.removed", F.lit(0), lambda n, x: n + x["end"] - x["start"]).cast("long")
-    return out.select("doc_id", "w.*", chars.alias("n_chars_removed"), *[f"carry_{c}" for c in carry])
+    return out.select("doc_id", "w.*", chars.alias("n_chars_removed"), *returned(carry))
 
 
 def op9_repeats(spark, sf_dir: str) -> DataFrame:
