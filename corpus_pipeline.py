@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panellink.llm import decontam, mixing, sharding, simhash, toxicity
-from panellink.llm.common import scratch_root
+from panellink.llm.common import col_of, scratch_root
 
 
 def _carried(found: DataFrame, docs: DataFrame) -> DataFrame:
-    return found.select(*[F.col(f"carry_{c}").alias(c) for c in docs.columns])
+    return found.select(*[col_of(found, f"carry_{c}").alias(c) for c in docs.columns])
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with size, text_crc32, law, shard and slot."""
     placed = sharding.shard_documents(docs, carry=tuple(c for c in docs.columns if c != "doc_id"))
-    rest = [F.col(f"carry_{c}").alias(c) for c in docs.columns if c not in ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")]
+    rest = [col_of(placed, f"carry_{c}").alias(c) for c in docs.columns if c not in ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")]
     return placed.select("doc_id", *rest, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
