@@ -9,6 +9,7 @@ from panellink.functions.constants import DEFAULT_WEIGHTS
 from panellink.functions.similarity import similarity
 from panellink.operators.prepare import prepare_panel
 from panellink.sources.panel import PanelCols
+from panellink.sources.scratch import settled
 
 EXACT = ("gender", "suffix", "salutation")
 #: Features that vary between records of one name: compared only where the rest could reach the threshold.
@@ -93,6 +94,43 @@ def scored(work: DataFrame, weights: dict[str, float], fields: list[str] = ()) -
     return c.withColumn("score", F.round(score, 12))
 
 
+def _signed(work: DataFrame, feats: list[str], stable: list[str]) -> DataFrame:
+    """Records with ``sid``, the digest of their organization and stable features: their signature."""
+    sid = F.md5(F.concat_ws("\x00", *[F.coalesce(F.col(c), F.lit("\x01")) for c in ("org", *stable)]).cast("binary"))
+    return work.where("org IS NOT NULL AND year IS NOT NULL").select(sid.alias("sid"), "org", "uid", "year", "surname_w", *feats)
+
+
+def _signature_pairs(signed: DataFrame, stable: list[str], comparators: dict) -> DataFrame:
+    """(org, sid_x, sid_y, surname_w_x, surname_w_y, similarities): pairs of signatures, a signature with itself too, of which x may be earlier."""
+    sigs = spread_by_org(signed.groupBy("sid").agg(F.first("org").alias("org"), F.first("surname_w").alias("surname_w"), F.min("year").alias("y0"), F.max("year").alias("y1"), *[F.first(f).alias(f) for f in stable]))
+    side = lambda s: sigs.select("org", "salts", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "surname_w", "y0", "y1", *stable)])
+    p = within_orgs(side("x"), side("y"), "y0_x < y1_y")
+    return p.select("org", "sid_x", "sid_y", "surname_w_x", "surname_w_y", *[comparators[f](F.col(f"{f}_x"), F.col(f"{f}_y")).alias(f) for f in stable])
+
+
+def _records(signed: DataFrame, side: str, late: list[str] = ()) -> DataFrame:
+    return signed.select(F.col("sid").alias(f"sid_{side}"), F.col("uid").alias(f"row_{side}"), F.col("year").alias(f"yr_{side}"), *[F.col(f).alias(f"{f}_{side}") for f in late])
+
+
+def compared_signatures(work: DataFrame, feats: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(signed records, stored pairs of signatures with their similarities and ``n``, the pairs of records that they stand for).
+
+    The counts are what a model of agreement patterns is fitted on: no pair of records is made for it.
+    """
+    signed = settled(_signed(work, feats, feats), "signed")
+    pairs = settled(_signature_pairs(signed, feats, match_comparators(feats)), "signature-pairs")
+    years = signed.groupBy("sid", "year").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda s: years.select(F.col("sid").alias(f"sid_{s}"), F.col("year").alias(f"yr_{s}"), F.col("n").alias(f"n_{s}"))
+    n = pairs.select("sid_x", "sid_y").join(side("x"), "sid_x").join(side("y"), "sid_y").where("yr_x < yr_y").groupBy("sid_x", "sid_y").agg(F.sum(F.col("n_x") * F.col("n_y")).alias("n"))
+    return signed, settled(pairs.join(n, ["sid_x", "sid_y"]), "counted-pairs")
+
+
+def record_pairs(signed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(org, yr_x, yr_y, row_x, row_y, score): pairs of signatures with a score turned back into pairs of records."""
+    r = pairs.select("org", "sid_x", "sid_y", "score").join(_records(signed, "x"), "sid_x").join(_records(signed, "y"), "sid_y").where("yr_x < yr_y")
+    return r.select("org", "yr_x", "yr_y", "row_x", "row_y", "score")
+
+
 def scored_above(work: DataFrame, weights: dict[str, float], threshold: float) -> DataFrame:
     """The candidates of ``scored`` that reach the threshold, without comparing every pair of records.
 
@@ -104,17 +142,12 @@ def scored_above(work: DataFrame, weights: dict[str, float], threshold: float) -
     stable = [f for f in feats if f not in VOLATILE]
     late = [f for f in feats if f in VOLATILE]
     comparators = match_comparators(feats)
-    sid = F.md5(F.concat_ws("\x00", *[F.coalesce(F.col(c), F.lit("\x01")) for c in ("org", *stable)]).cast("binary"))
-    work = work.where("org IS NOT NULL AND year IS NOT NULL").select(sid.alias("sid"), "org", "uid", "year", "surname_w", *feats)
-    sigs = spread_by_org(work.groupBy("sid").agg(F.first("org").alias("org"), F.first("surname_w").alias("surname_w"), F.min("year").alias("y0"), F.max("year").alias("y1"), *[F.first(f).alias(f) for f in stable]))
-    side = lambda s: sigs.select("org", "salts", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "surname_w", "y0", "y1", *stable)])
-    p = within_orgs(side("x"), side("y"), "y0_x < y1_y")
-    p = p.select("org", "sid_x", "sid_y", "surname_w_x", "surname_w_y", *[comparators[f](F.col(f"{f}_x"), F.col(f"{f}_y")).alias(f) for f in stable])
+    work = _signed(work, feats, stable)
+    p = _signature_pairs(work, stable, comparators)
     sw = (F.col("surname_w_x"), F.col("surname_w_y"))
     room = sum(abs(weights[f]) for f in late) + 1e-9
     p = p.where(score_pairs({f: F.col(f) for f in stable}, weights, *sw) >= threshold - room)
-    record = lambda s: work.select(F.col("sid").alias(f"sid_{s}"), F.col("uid").alias(f"row_{s}"), F.col("year").alias(f"yr_{s}"), *[F.col(f).alias(f"{f}_{s}") for f in late])
-    r = p.join(record("x"), "sid_x").join(record("y"), "sid_y").where("yr_x < yr_y")
+    r = p.join(_records(work, "x", late), "sid_x").join(_records(work, "y", late), "sid_y").where("yr_x < yr_y")
     r = r.withColumns({f: comparators[f](F.col(f"{f}_x"), F.col(f"{f}_y")) for f in late}) if late else r
     r = r.withColumn("score", F.round(score_pairs({f: F.col(f) for f in feats}, weights, *sw), 12))
     return r.where(F.col("score") >= threshold).select("org", "yr_x", "yr_y", "row_x", "row_y", "score")

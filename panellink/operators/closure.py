@@ -11,6 +11,8 @@ from pyspark.sql.window import Window as W
 
 from panellink.sources.scratch import settled
 
+#: Candidates of an organization that one task resolves.
+TASK_EDGES = 500_000
 EDGE = "org string, yr_x int, yr_y int, row_x string, row_y string, score double"
 RESOLVED = EDGE + ", uid string, cluster string, rejected long"
 
@@ -60,7 +62,10 @@ def resolve_within(candidates: DataFrame) -> DataFrame:
 
     Edges are accepted greedily within each pair of years; accepted edges are merged strongest first unless the
     clusters share a year.  Ties are broken by the record keys.  Rows with ``uid`` are members (cluster: the least key), the
-    others are accepted edges; ``rejected`` counts refused merges on one row of each organization.
+    others are accepted edges; ``rejected`` counts refused merges on one row of each organization (or component).
+
+    Organizations of up to TASK_EDGES candidates are resolved in a task each.  Larger ones are matched by rounds of mutually best edges
+    (``greedy_one_to_one``), and closed a connected component at a time: edges of different components don't interact.
     """
 
     def resolve(g: pd.DataFrame) -> pd.DataFrame:
@@ -76,7 +81,22 @@ def resolve_within(candidates: DataFrame) -> DataFrame:
             out[c] = out[c].astype("Int64")
         return out[["org", "yr_x", "yr_y", "row_x", "row_y", "score", "uid", "cluster", "rejected"]].astype({"score": "float64"})
 
-    return candidates.select(*[F.col(c.split()[0]) for c in EDGE.split(", ")]).groupBy("org").applyInPandas(resolve, RESOLVED)
+    edges = settled(candidates.select(*[F.col(c.split()[0]) for c in EDGE.split(", ")]), "candidates")
+    large = edges.groupBy("org").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TASK_EDGES).select("org")
+    large = settled(large, "large-organizations")
+    if large.limit(1).count() == 0:
+        return edges.groupBy("org").applyInPandas(resolve, RESOLVED)
+    small = edges.join(large, "org", "left_anti").groupBy("org").applyInPandas(resolve, RESOLVED)
+    # one partner for a record and a year
+    rest = edges.join(large, "org", "left_semi").withColumns({"x": F.concat_ws(">", "row_x", F.col("yr_y").cast("string")), "y": F.concat_ws(">", "row_y", F.col("yr_x").cast("string"))})
+    accepted = settled(greedy_one_to_one(rest, "x", "y").drop("x", "y"), "matched")
+    parts = connected_components(accepted, "row_x", "row_y")
+    whole = accepted.join(parts, accepted["row_x"] == parts["node"]).drop("node")
+
+    def close(g: pd.DataFrame) -> pd.DataFrame:
+        return resolve(g.drop(columns="component"))
+
+    return small.unionByName(whole.groupBy("component").applyInPandas(close, RESOLVED))
 
 
 def greedy_one_to_one(edges: DataFrame, x: str = "row_x", y: str = "row_y", score: str = "score", max_rounds: int = 1000) -> DataFrame:
@@ -94,6 +114,9 @@ def greedy_one_to_one(edges: DataFrame, x: str = "row_x", y: str = "row_y", scor
             break
         accepted = best if accepted is None else accepted.unionByName(best)
         left = settled(left.join(best.select(x), x, "left_anti").join(best.select(y), y, "left_anti").select(edges.columns), "greedy-left")
+    else:
+        if left.limit(1).count():
+            raise RuntimeError(f"greedy_one_to_one: edges are left after {max_rounds} rounds")
     return accepted if accepted is not None else left.limit(0)
 
 

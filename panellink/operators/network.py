@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,9 @@ MAJ12_RULES = (
 )
 MAJ10_FOLDS = {"UNI": "EDU", "HOS": "HEL"}
 
+#: Nodes from which one task walks all paths.
+SOURCES = 64
+
 
 def maj12(ntee: Column) -> Column:
     """One of twelve sector groups; UNU for unknown, undefined and Z codes."""
@@ -32,7 +36,7 @@ def maj12(ntee: Column) -> Column:
 
 def maj10(ntee: Column) -> Column:
     m = maj12(ntee)
-    return F.when(m == "UNI", "EDU").when(m == "HOS", "HEL").otherwise(m)
+    return reduce(lambda out, fold: F.when(m == fold[0], fold[1]).otherwise(out), MAJ10_FOLDS.items(), m)
 
 
 # --- projections -------------------------------------------------------------------------------------------------
@@ -148,7 +152,7 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return edges.join(parts.join(F.broadcast(top), "component").select(F.col("node").alias("u1")), "u1", "left_semi")  # one row
 
 
-def coreness(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def coreness(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(node, core): the largest k whose k-core holds the node.
 
     Starting from degrees, every node takes the h-index of its neighbours' values until nothing changes; that fixed point is
@@ -163,8 +167,8 @@ def coreness(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         after = settled(after, "core")
         value = after.select("u", "h")
         if after.where("moved").limit(1).count() == 0:
-            break
-    return value.toDF("node", "core")
+            return value.toDF("node", "core")
+    raise RuntimeError(f"coreness: no fixed point after {max_rounds} rounds")
 
 
 def k_core(edges: DataFrame, k: int) -> DataFrame:
@@ -173,8 +177,11 @@ def k_core(edges: DataFrame, k: int) -> DataFrame:
     return edges.join(kept.toDF("u1"), "u1", "left_semi").join(kept.toDF("u2"), "u2", "left_semi")
 
 
-def eigen_centrality(edges: DataFrame, weight: str | None = "w", rounds: int = 60, tolerance: float = 1e-6) -> DataFrame:
-    """(node, centrality), 1 for the most central: power iteration on weights plus the identity, which bipartite graphs need."""
+def eigen_centrality(edges: DataFrame, weight: str | None = "w", rounds: int = 1000, tolerance: float = 1e-6) -> DataFrame:
+    """(node, centrality), 1 for the most central: power iteration on weights plus the identity, which bipartite graphs need.
+
+    It goes on until no value moves by ``tolerance``; that it doesn't in ``rounds`` rounds is an error.
+    """
     both = settled(_both(edges, weight if weight in edges.columns else None), "eigen-edges")
     x = settled(both.select(F.col("u").alias("node")).distinct().withColumn("x", F.lit(1.0)), "eigen")
     for _ in range(rounds):
@@ -184,8 +191,8 @@ def eigen_centrality(edges: DataFrame, weight: str | None = "w", rounds: int = 6
         after = settled(y.crossJoin(F.broadcast(top)).select("node", (F.col("y") / F.col("top")).alias("x"), F.abs(F.col("y") / F.col("top") - F.col("x")).alias("d")), "eigen")  # one row
         x = after.select("node", "x")
         if (after.agg(F.max("d")).first()[0] or 0.0) < tolerance:
-            break
-    return x.toDF("node", "centrality")
+            return x.toDF("node", "centrality")
+    raise RuntimeError(f"eigen_centrality: no fixed point after {rounds} rounds")
 
 
 def transitivity(edges: DataFrame) -> DataFrame:
@@ -200,10 +207,10 @@ def transitivity(edges: DataFrame) -> DataFrame:
     return n.crossJoin(wedges).withColumn("transitivity", F.when(F.col("wedges") > 0, 3 * F.col("triangles") / F.col("wedges")))
 
 
-def _brandes(nodes: list[str], links: dict[str, list[str]]) -> dict[str, float]:
-    """Betweenness of undirected, unweighted nodes, each pair counted once."""
-    score = dict.fromkeys(nodes, 0.0)
-    for s in nodes:
+def _brandes(sources: list[str], links: dict[str, list[str]]) -> dict[str, float]:
+    """What paths from ``sources`` add to the betweenness of undirected, unweighted nodes; each pair counts by half from either end."""
+    score = dict.fromkeys(links, 0.0)
+    for s in sources:
         order, before, paths, far = [], {s: []}, {s: 1.0}, {s: 0}
         queue = deque([s])
         while queue:
@@ -226,7 +233,10 @@ def _brandes(nodes: list[str], links: dict[str, list[str]]) -> dict[str, float]:
 
 
 def betweenness(edges: DataFrame, normalized: bool = False) -> DataFrame:
-    """(node, betweenness), a component at a time: components don't share paths.  A component's edges must fit one task."""
+    """(node, betweenness), by components, which don't share paths, and within them by SOURCES nodes from which paths are walked.
+
+    The edges of a component are in each of its tasks and must fit one; the walks, which take the time, are spread.
+    """
     parts = settled(connected_components(edges, "u1", "u2"), "between-parts")
     both = _both(edges).join(parts.select(F.col("node").alias("u"), "component"), "u")
     total = parts.count()
@@ -235,11 +245,13 @@ def betweenness(edges: DataFrame, normalized: bool = False) -> DataFrame:
         links: dict[str, list[str]] = {}
         for u, v in zip(g["u"], g["v"]):
             links.setdefault(u, []).append(v)
-        nodes = sorted(links)
-        score = _brandes(nodes, {u: sorted(vs) for u, vs in links.items()})
-        return pd.DataFrame({"node": nodes, "betweenness": [score[n] for n in nodes]})
+        own, of = int(g["part"].iloc[0]), int(g["parts"].iloc[0])
+        score = _brandes(sorted(links)[own::of], {u: sorted(vs) for u, vs in links.items()})
+        return pd.DataFrame({"node": list(score), "betweenness": list(score.values())})
 
-    out = both.select("component", "u", "v").groupBy("component").applyInPandas(walk, "node string, betweenness double")
+    parts_of = parts.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / SOURCES).cast("int").alias("parts"))
+    spread = both.select("component", "u", "v").join(parts_of, "component").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    out = spread.groupBy("component", "part").applyInPandas(walk, "node string, betweenness double").groupBy("node").agg(F.sum("betweenness").alias("betweenness"))
     scale = (total - 1) * (total - 2) / 2 if normalized and total > 2 else 1.0
     return out.withColumn("betweenness", F.col("betweenness") / F.lit(float(scale)))
 

@@ -10,7 +10,9 @@ import csv
 import io
 import json
 import os
+import threading
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -145,8 +147,8 @@ def run_batch(spark: SparkSession, path: str, out_dir: str, batch: str, do_link:
     return run
 
 
-def link_panel_batched(spark: SparkSession, path: str, out_dir: str, steps: tuple[str, ...] = ("link", "profile"), batches: list[str] | None = None, resume: bool = True, retry_failed: bool = True, cols: PanelCols | None = None, id_col: str = "PERSON_YEAR_ID", prefix: str = "batch", link_args: dict | None = None, profile_args: dict | None = None) -> list[BatchRun]:
-    """Link the batches under ``path``, costliest first, and write emp-map, profiles and a ledger to ``out_dir``.
+def link_panel_batched(spark: SparkSession, path: str, out_dir: str, steps: tuple[str, ...] = ("link", "profile"), batches: list[str] | None = None, resume: bool = True, retry_failed: bool = True, cols: PanelCols | None = None, id_col: str = "PERSON_YEAR_ID", prefix: str = "batch", link_args: dict | None = None, profile_args: dict | None = None, workers: int = 4) -> list[BatchRun]:
+    """Link the batches under ``path``, costliest first and ``workers`` at a time, and write emp-map, profiles and a ledger to ``out_dir``.
 
     Statuses: done, failed, complete, skipped: failed earlier, skipped: running elsewhere, skipped: no emp-map.  A failed batch
     doesn't stop the others.
@@ -181,18 +183,34 @@ def link_panel_batched(spark: SparkSession, path: str, out_dir: str, steps: tupl
         per = panel.where(F.col(prefix).isin(todo)).groupBy(prefix, F.col(f"`{pick(panel, cols.org_id)}`").alias("o")).agg(F.count(F.lit(1)).cast("double").alias("n"))
         cost = {r[0]: r[1] if link[r[0]] else r[2] for r in per.groupBy(prefix).agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).collect()}
         todo.sort(key=lambda b: (-cost.get(b, 0.0), b))
-    for b in todo:
+    lock = threading.Lock()
+
+    def note(*entry: str) -> None:
+        with lock:
+            ledger_append(spark, out_dir, *entry)
+
+    def work(b: str) -> None:
         step = "+".join(s for s, due in (("link", link[b]), ("profile", prof[b])) if due)
-        ledger_append(spark, out_dir, step, b, "started")
+        note(step, b, "started")
         try:
             out[b] = run_batch(spark, f"{path}/{prefix}={b}", out_dir, b, link[b], prof[b], cols, id_col, prefix, link_args or {}, profile_args or {})
-            ledger_append(spark, out_dir, step, b, "done", f"{out[b].records} records, {out[b].persons} persons")
-        except KeyboardInterrupt:
-            ledger_append(spark, out_dir, step, b, "interrupted", "stopped in this session")
-            raise
+            note(step, b, "done", f"{out[b].records} records, {out[b].persons} persons")
         except Exception as e:  # the ledger and the result say what failed; other batches go on
             out[b] = BatchRun(b, "failed", error=str(e)[:500])
-            ledger_append(spark, out_dir, step, b, "failed", str(e)[:500])
+            note(step, b, "failed", str(e)[:500])
+
+    pool = ThreadPoolExecutor(max(1, workers))
+    runs = {b: pool.submit(work, b) for b in todo}  # in this order: small batches run beside large ones
+    try:
+        for run in runs.values():
+            run.result()
+    except KeyboardInterrupt:
+        pool.shutdown(wait=False, cancel_futures=True)
+        for b, run in runs.items():
+            if run.running():
+                note("stop", b, "interrupted", "stopped in this session")
+        raise
+    pool.shutdown()
     return [out[b] for b in batches]
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panellink.functions.constants import LINK_THRESHOLD, PROB_THRESHOLD
 from panellink.functions.ids import anchor_emp_id, anchor_key, anchor_order
 from panellink.functions.normalize import as_year, column, pick
-from panellink.operators.candidates import compared, default_weights, scored_above
+from panellink.operators.candidates import compared_signatures, default_weights, record_pairs, scored_above
 from panellink.operators.closure import resolve_within
 from panellink.operators.prepare import prepare_panel
 from panellink.plans.model import fit_match_model, predict_match
@@ -63,9 +63,10 @@ def link_panel(df: DataFrame, cols: PanelCols | None = None, weights: dict[str,
     if method == "weighted":
         candidates = scored_above(work, weights, threshold)
     else:
-        comparisons = settled(compared(work, feats), "comparisons")
-        model = fit_match_model(comparisons, "em", feats=feats)
-        candidates = comparisons.withColumn("score", predict_match(model)).where(F.col("score") >= prob_threshold)
+        signed, pairs = compared_signatures(work, feats)
+        model = fit_match_model(pairs, "em", feats=feats, weight="n")
+        likely = pairs.withColumn("score", F.round(predict_match(model), 12)).where(F.col("score") >= prob_threshold)  # rounded, so that the noise of sums can't break ties
+        candidates = record_pairs(signed, likely)
     resolved = settled(resolve_within(candidates), "resolved")
     edges = resolved.where("uid IS NULL").select("row_x", "row_y", "score", "yr_x", "yr_y", "org")
     clusters = resolved.where("uid IS NOT NULL").select("uid", "cluster")

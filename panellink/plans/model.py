@@ -61,16 +61,16 @@ def em_fellegi_sunter(patterns: np.ndarray, counts: np.ndarray, tol: float = TOL
     return m, u, p, it
 
 
-def fit_match_model(comparisons: DataFrame, method: str = "em", labels: str | None = None, agree_cutoff: float = 0.5, feats: list[str] | None = None) -> MatchModel:
+def fit_match_model(comparisons: DataFrame, method: str = "em", labels: str | None = None, agree_cutoff: float = 0.5, feats: list[str] | None = None, weight: str | None = None) -> MatchModel:
     """'em': unsupervised, from at most 3 ** features counted patterns.  'logistic': from the 0/1 column ``labels``.
 
     The logistic model is fitted without a penalty on the similarities, missing ones as 0.5 with an indicator for fields
-    that miss any; on separable labels its weights grow until the optimizer stops.
+    that miss any; on separable labels its weights grow until the optimizer stops.  ``weight`` names how many pairs a row stands for.
     """
-    feats = feats or [c for c in model_features(comparisons) if c != labels]
+    feats = feats or [c for c in model_features(comparisons) if c not in (labels, weight)]
     if method == "em":
         agree = [(F.col(f) >= agree_cutoff).cast("double").alias(f) for f in feats]
-        held = comparisons.select(*agree).groupBy(*feats).agg(F.count(F.lit(1)).alias("n")).collect()  # 3 ** len(feats) at most
+        held = comparisons.select(*agree, (F.col(weight) if weight else F.lit(1)).alias("_n")).groupBy(*feats).agg(F.sum("_n").alias("n")).collect()  # 3 ** len(feats) at most
         if not held:
             raise ValueError("fit_match_model: no comparisons")
         patterns = np.array([[np.nan if r[f] is None else r[f] for f in feats] for r in held], float)
@@ -86,9 +86,9 @@ def fit_match_model(comparisons: DataFrame, method: str = "em", labels: str | No
     kept = comparisons.where(F.col(labels).isNotNull())
     gaps = kept.agg(*[F.count(F.when(F.col(f).isNull(), 1)).alias(f) for f in feats]).first()
     terms = {f: F.coalesce(F.col(f), F.lit(0.5)) for f in feats} | {f"{f}_na": F.col(f).isNull().cast("double") for f in feats if gaps[f]}
-    data = kept.select(F.col(labels).cast("double").alias("label"), *[c.alias(t) for t, c in terms.items()])
+    data = kept.select(F.col(labels).cast("double").alias("label"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight"), *[c.alias(t) for t, c in terms.items()])
     data = VectorAssembler(inputCols=list(terms), outputCol="features").transform(data)
-    fit = LogisticRegression(regParam=0.0, maxIter=200, tol=1e-9, standardization=True).fit(data)
+    fit = LogisticRegression(weightCol="weight", regParam=0.0, maxIter=200, tol=1e-9, standardization=True).fit(data)
     return MatchModel("logistic", feats, agree_cutoff, intercept=float(fit.intercept), coefficients=dict(zip(terms, map(float, fit.coefficients))))
 
 

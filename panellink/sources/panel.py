@@ -46,8 +46,10 @@ class PanelCols:
 
 def read_panel(spark: SparkSession, *paths: str, columns: list[str] | None = None) -> DataFrame:
     """Parquet files as one panel; partition values stay text, so that batch 07 isn't 7."""
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    df = spark.read.option("mergeSchema", "true").parquet(*paths)
+    session = spark.newSession()  # the setting holds for this read alone
+    session.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+    schema = session.read.option("mergeSchema", "true").parquet(*paths).schema
+    df = spark.read.schema(schema).parquet(*paths)
     return df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
 
 

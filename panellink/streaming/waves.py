@@ -30,7 +30,8 @@ def wave_sink(state_path: str, **link_args) -> Callable[[DataFrame, int], None]:
             existing = spark.read.parquet(*earlier)
             out = link_incremental(existing, batch, **link_args).new_stamped
         else:
-            out = link_panel(batch, **{k: v for k, v in link_args.items() if k in ("cols", "weights", "method", "prob_threshold")}).panel.drop("EMP_N_RECORDS", "EMP_N_YEARS", "EMP_LINK_CONF")
+            known = {"link_threshold": "threshold"} | {k: k for k in ("cols", "weights", "method", "prob_threshold")}
+            out = link_panel(batch, **{known[k]: v for k, v in link_args.items() if k in known}).panel.drop("EMP_N_RECORDS", "EMP_N_YEARS", "EMP_LINK_CONF")
         out.write.mode("overwrite").parquet(target)
 
     return link
