@@ -21,6 +21,7 @@ def test_whole_organizations(spark, store):
     df, path, summary = store
     assert set(summary) == {"1", "2", "3"} and all((r["records"], r["orgs"], r["max_org"], r["cost"]) == (10, 2, 8, 68.0) for r in summary.values())
     back = P.read_panel(spark, path)
+    assert spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled") == "true"
     assert back.count() == 30 and back.groupBy("ein").agg(F.countDistinct("batch").alias("n")).where("n > 1").count() == 0 and dict(back.dtypes)["batch"] == "string"
     with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
         P.batch_panel(df, path, n_batches=10)

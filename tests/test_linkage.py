@@ -118,6 +118,34 @@ def test_constrained_union_by_component_equals_the_global_one(spark):
         assert root == min(members) and len({nodes[m] for m in members}) == len(members)
 
 
+def test_large_organizations_are_resolved_alike(spark, monkeypatch):
+    """Rounds of best edges and components give what one task for the whole organization gives."""
+    rng = random.Random(8)
+    rows = []
+    for org in ("a", "b"):
+        for yr_x in range(4):
+            for yr_y in range(yr_x + 1, 4):
+                rows += [(org, yr_x, yr_y, f"{org}{yr_x}-{i}", f"{org}{yr_y}-{j}", float(rng.randrange(6))) for i in range(6) for j in range(6) if rng.random() < 0.4]
+    edges = spark.createDataFrame(rows, closure.EDGE)
+    plain = lambda df: sorted((r["row_x"], r["row_y"], r["score"]) for r in df.where("uid IS NULL").collect())
+    clusters = lambda df: sorted((r["uid"], r["cluster"]) for r in df.where("uid IS NOT NULL").collect())
+    whole = closure.resolve_within(edges).cache()
+    monkeypatch.setattr(closure, "TASK_EDGES", 1)
+    split = closure.resolve_within(edges).cache()
+    assert plain(whole) == plain(split) and clusters(whole) == clusters(split) and len(plain(whole)) > 20
+    assert whole.agg(F.sum("rejected")).first()[0] == split.agg(F.sum("rejected")).first()[0] > 0
+
+
+def test_unfinished_rounds_are_errors(spark):
+    from panellink.operators import network
+
+    path = spark.createDataFrame([(f"n{k:02d}", f"n{k + 1:02d}", 1) for k in range(12)], "u1 string, u2 string, w int")
+    chain = spark.createDataFrame([(f"x{k}", f"y{k}", 10.0 - 2 * k) for k in range(5)] + [(f"x{k + 1}", f"y{k}", 9.0 - 2 * k) for k in range(4)], "row_x string, row_y string, score double")
+    for call in (lambda: network.coreness(path, max_rounds=1), lambda: network.eigen_centrality(path, rounds=2), lambda: closure.greedy_one_to_one(chain, max_rounds=1)):
+        with pytest.raises(RuntimeError):
+            call()
+
+
 # --- models -------------------------------------------------------------------------------------------------------
 
 
@@ -149,6 +177,23 @@ def test_em_on_patterns_is_em_on_pairs():
     assert np.allclose(a[0], b[0], atol=1e-5) and np.allclose(a[1], b[1], atol=1e-5) and a[2] == pytest.approx(b[2], abs=1e-5)
 
 
+def test_em_on_signatures_is_em_on_records(spark):
+    """Counted pairs of signatures stand for all pairs of records, whatever repeats."""
+    from panellink.operators.candidates import compared, compared_signatures, record_pairs
+    from panellink.operators.prepare import prepare_panel
+
+    rows = FAMILY + [record("100", y, "JON", "SMYTH", "SR", title="TRUSTEE", k=f"k{n}") for n, y in enumerate((2019, 2020, 2021, 2021))] + [record("200", 2021, "ANN", "JONES", "", "F")]
+    _, work, feats = prepare_panel(panel(spark, rows))
+    records = compared(work, feats)
+    signed, pairs = compared_signatures(work, feats)
+    assert pairs.agg(F.sum("n")).first()[0] == records.count()
+    a, b = model.fit_match_model(records, feats=feats), model.fit_match_model(pairs, feats=feats, weight="n")
+    assert a.m == pytest.approx(b.m) and a.u == pytest.approx(b.u) and a.p == pytest.approx(b.p) and a.iters == b.iters
+    want = {(r["row_x"], r["row_y"]): r["s"] for r in records.withColumn("s", model.predict_match(a)).collect()}
+    got = {(r["row_x"], r["row_y"]): r["score"] for r in record_pairs(signed, pairs.withColumn("score", model.predict_match(b))).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_logistic(spark):
     d = similarities(spark, True)
     noisy = d.withColumn("y", F.when(F.rand(1) < 0.1, 1 - F.col("y")).otherwise(F.col("y")))
@@ -213,6 +258,15 @@ def test_wave_collisions_ambiguity_and_reloads(spark, linked):
         incremental.match_to_profiles(p, p)
 
 
+def test_first_wave_of_a_stream_takes_the_threshold(spark, tmp_path):
+    from panellink.streaming.waves import read_state, wave_sink
+
+    for threshold, persons in ((7.0, 4), (1e9, 10)):
+        state = str(tmp_path / f"s{persons}")
+        wave_sink(state, link_threshold=threshold)(panel(spark, FAMILY), 0)
+        assert read_state(spark, state).select("EMP_ID").distinct().count() == persons
+
+
 def test_stream_of_waves(spark, tmp_path):
     from panellink.streaming.waves import link_stream, read_state
 
