@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,11 +60,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table this process wrote.  Results that read them must have been written before."""
+@contextmanager
+def scratch_of(paths: list[str]):
+    """Add the scratch tables that are written inside to ``paths``."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        paths += _WRITTEN[before:]
+
+
+def clear_scratch(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete the scratch tables in ``paths``, or every one that this process wrote.  Results that read them must have been written before."""
     jvm = spark.sparkContext._jvm
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    paths = _WRITTEN if paths is None else paths
+    while paths:
+        name = paths.pop()
+        if name in _WRITTEN:
+            _WRITTEN.remove(name)
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -9,9 +9,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.window import Window as W
 
 from panellink.llm.common import carried, col_of, join_groups, stored
 
@@ -25,9 +26,18 @@ MIN_SHARED_LISTS = 3
 LONG_LIST = 64
 #: Shingles whose bits are unpacked at once.
 BLOCK = 1 << 16
-#: Least hashes in a band of a sketch, and the chance at most that a pair at just the least similarity shares no band.
-BAND_ROWS = 4
+#: Least hashes in a band of a sketch, and the chance at most that a pair at just the least similarity shares no band.  With eight,
+#: 76 bands do for 0.8; pairs that are alike by half share one with a chance of a quarter, pairs alike by a fifth with one of 0.0002.
+BAND_ROWS = 8
 MISS = 1e-6
+#: Shingles whose permuted hashes are held at once.
+SKETCH_BLOCK = 64
+#: Longs of one bit for each of the first least hashes: two sets differ in the fewer of them the more alike they are.
+SKETCH_LONGS = 4
+#: As many for the sets that meet all others of a key: so they meet only those that are alike by 0.76 or so.
+FINE_LONGS = 64
+#: Members of its keys that a node meets in a round, and rounds at most before those of a key that aren't connected yet all meet.
+MET, ROUNDS = 2, 2
 
 
 def _shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
@@ -75,26 +85,64 @@ def bands(similarity: float) -> int:
     return 1 if similarity >= 1 else math.ceil(math.log(MISS) / math.log(1 - similarity**BAND_ROWS))
 
 
-def sketch_keys(hashes: np.ndarray, n_bands: int) -> np.ndarray:
-    """One key for each band of a set's least hashes under fixed permutations; none for an empty set."""
+def most_differing(similarity: float, longs: int) -> int:
+    """So few bits of a sketch are the most that sets of at least this similarity differ in, but for a chance of MISS."""
+    n, p = 64 * longs, (1 - similarity) / 2
+    if p <= 0:
+        return 0
+    chance = lambda d: math.exp(math.lgamma(n + 1) - math.lgamma(d + 1) - math.lgamma(n - d + 1) + d * math.log(p) + (n - d) * math.log1p(-p))
+    d, beyond = n, 0.0
+    while d and beyond + chance(d) <= MISS:
+        beyond += chance(d)
+        d -= 1
+    return d
+
+
+def least_hashes(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """The least hash of a set under each of ``n`` fixed permutations of 32-bit numbers."""
+    a, b = np.random.Generator(np.random.PCG64(seed)).integers(0, 2**32, (2, n), np.uint32)
+    a |= np.uint32(1)
+    low = hashes.astype(np.uint32)
+    least = np.full(n, 2**32 - 1, np.uint32)
+    held = np.empty((min(SKETCH_BLOCK, len(low)), n), np.uint32)
+    for k in range(0, len(low), SKETCH_BLOCK):
+        part = held[: len(low[k : k + SKETCH_BLOCK])]
+        np.multiply.outer(low[k : k + SKETCH_BLOCK], a, out=part)
+        part += b
+        np.minimum(least, part.min(axis=0), out=least)
+    return least
+
+
+def sketch_bits(least: np.ndarray, longs: int) -> np.ndarray:
+    """One bit for each of the first least hashes, as longs."""
+    bits = (np.resize(least, 64 * longs) * np.uint32(0x85EBCA6B) >> np.uint32(31)).astype(np.uint8)
+    return np.packbits(bits).view("<i8").astype(np.int64)
+
+
+def sketch_keys(hashes: np.ndarray, n_bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, bits): one key for each band of a set's least hashes under fixed permutations of 32-bit numbers, and SKETCH_LONGS longs of bits.
+
+    An empty set has no key.
+    """
     if not len(hashes):
-        return np.empty(0, np.int64)
-    a, b = np.random.Generator(np.random.PCG64(42)).integers(0, 2**64, (2, n_bands * BAND_ROWS), np.uint64)
-    least = np.full(n_bands * BAND_ROWS, 2**64 - 1, np.uint64)
-    for k in range(0, len(hashes), 4096):
-        np.minimum(least, (hashes[k : k + 4096, None] * (a | np.uint64(1)) + b).min(axis=0), out=least)
-    rows = least.astype("<u8").reshape(n_bands, BAND_ROWS)
-    return np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)), np.uint64, n_bands).view(np.int64)
+        return np.empty(0, np.int64), np.zeros(SKETCH_LONGS, np.int64)
+    least = least_hashes(hashes, n_bands * BAND_ROWS, 42)
+    rows = least.astype("<u4").reshape(n_bands, BAND_ROWS)
+    return np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)), np.uint64, n_bands).view(np.int64), sketch_bits(least, SKETCH_LONGS)
 
 
 def sketch(shingle: int, n_bands: int):
-    """A column function: text to the digest of its shingle set and the keys of its bands."""
+    """A column function: text to the digest of its shingle set, the set's size, the bits of its sketch and the keys of its bands."""
 
-    @pandas_udf("fp binary, keys array<long>")
+    @pandas_udf("fp binary, shingles int, bits array<long>, keys array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            sets = [shingle_set(t, shingle) for t in texts]
-            yield pd.DataFrame({"fp": [xxhash.xxh3_128_digest(h.astype("<u8").tobytes()) for h in sets], "keys": [sketch_keys(h, n_bands) for h in sets]})
+            rows = []
+            for t in texts:
+                h = shingle_set(t, shingle)
+                keys, bits = sketch_keys(h, n_bands)
+                rows.append((xxhash.xxh3_128_digest(h.astype("<u8").tobytes()), len(h), bits, keys))
+            yield pd.DataFrame(rows, columns=["fp", "shingles", "bits", "keys"])
 
     return of
 
@@ -108,6 +156,17 @@ def shingle_bytes(shingle: int):
     return of
 
 
+def fine_sketch(sets: Column) -> Column:
+    """FINE_LONGS longs of bits for each shingle set."""
+
+    @pandas_udf("array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for held in batches:
+            yield pd.Series([sketch_bits(least_hashes(np.frombuffer(x, "<u8"), 64 * FINE_LONGS, 43), FINE_LONGS) for x in held])
+
+    return of(sets)
+
+
 def similar(similarity: float):
     """A column function of two shingle sets: whether their Jaccard similarity is at least this."""
 
@@ -163,29 +222,64 @@ def linked_pairs(fps: DataFrame) -> DataFrame:
 
 
 def similar_pairs(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Edges (u, v) with the same connected components as all pairs of ``nodes`` (node, keys) that share a key and are similar.
+    """Edges (u, v) with the same connected components as all pairs of ``nodes`` (node, shingles, bits, keys) that share a key and are similar.
 
-    ``texts`` has (node, text).  Each member of a key is first held against the key's least one; what is then
-    connected isn't compared again, all other pairs of a key are.  Every edge is verified on the whole sets.
+    ``texts`` has (node, text).  Each node is first held against one other: the least of the least members of its keys.  Then rounds follow in which
+    every key is led by some member and nodes meet a few leaders, until a round finds nothing; what is connected isn't compared again, so a group
+    of copies costs some comparisons for each member.  At the end all members of a key that aren't connected yet meet.  Nodes meet only where their sizes
+    and the bits of their sketches allow the similarity; every edge is verified on the whole sets.
     """
-    postings = nodes.select("node", F.explode("keys").alias("key"))
-    heads = postings.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = stored(postings.join(heads, "key"), "similar-members")
-    sets = texts.join(members.select("node").distinct(), "node").select("node", shingle_bytes(shingle)("text").alias("set"))
+    bits = [f"b{k}" for k in range(SKETCH_LONGS)]
+    nodes = nodes.select("node", "shingles", *[F.get("bits", F.lit(k)).alias(b) for k, b in enumerate(bits)], "keys")
+    # the postings are shuffled once, and bare: what conditions need comes to those that are left
+    key = W.partitionBy("key")
+    postings = nodes.select("node", F.explode("keys").alias("key")).select("node", "key", F.min("node").over(key).alias("least"), F.count(F.lit(1)).over(key).alias("n"))
+    shared = stored(postings.where("n > 1").drop("n"), "similar-shared")
+    facts = stored(nodes.drop("keys").join(shared.select("node").distinct(), "node"), "similar-facts")
+    head = facts.select(F.col("node").alias("least"), F.struct("node", "shingles", *bits).alias("head"))
+    members = stored(shared.join(facts, "node").join(head, "least").drop("least"), "similar-members")
+    sets = texts.join(facts.select("node"), "node").select("node", shingle_bytes(shingle)("text").alias("set"))
     sets = stored(sets, "similar-sets")
+    most = most_differing(similarity, SKETCH_LONGS)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        a, b = sets.select(F.col("node").alias("u"), F.col("set").alias("a")), sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
-        return pairs.join(a, "u").join(b, "v").where(similar(similarity)("a", "b")).select("u", "v")
+    def alike(x: str, y: str) -> Column:
+        """What similar sets are: near in size and, but for a chance of MISS, in the bits of their sketches."""
+        differing = " + ".join(f"bit_count({x}{b} ^ {y}{b})" for b in bits)
+        return F.expr(f"least({x}shingles, {y}shingles) >= {similarity} * greatest({x}shingles, {y}shingles) - 1e-6 AND {differing} <= {most}")
 
-    stars = stored(verified(members.where("node != head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()), "similar-stars")
-    held = members.join(components(stars), "node", "left").select("key", "node", "head", F.coalesce("root", "node").alias("root"))
-    held = stored(held, "similar-held")
-    open_keys = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rest = stored(held.where("node != head").join(open_keys, "key"), "similar-rest")
-    others = rest.alias("x").join(rest.alias("y"), F.expr("x.key = y.key AND x.root < y.root"))
-    others = stored(others.select(F.expr("least(x.node, y.node)").alias("u"), F.expr("greatest(x.node, y.node)").alias("v")).distinct(), "similar-others")
-    return stars.unionByName(stored(verified(others), "similar-crossing"))
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        a, b = sets.select(F.col("node").alias("u"), F.col("set").alias("a")), sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
+        pairs = stored(pairs.distinct(), f"{name}-pairs")
+        return stored(pairs.join(a, "u").join(b, "v").where(similar(similarity)("a", "b")).select("u", "v"), name)
+
+    def rooted(edges: DataFrame, name: str) -> DataFrame:
+        """The members of keys that aren't one component yet, with their roots."""
+        roots = components(edges)
+        held = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        held = stored(held, f"{name}-held")
+        open_keys = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        return stored(held.join(open_keys, "key"), name)
+
+    least = members.where(alike("", "head.")).groupBy("node").agg(F.min("head.node").alias("u")).where("u < node")
+    edges = verified(least.select("u", F.col("node").alias("v")), "similar-least")
+    left = rooted(edges, "similar-open-0")
+    for k in range(1, ROUNDS + 1):
+        # each key is led by another member in every round; a node meets the leaders of MET of its keys
+        member = F.struct(F.xxhash64("node", "key", F.lit(k)).alias("h"), "node", "root", "shingles", *bits)
+        leaders = left.groupBy("key").agg(F.min(member).alias("leader"))
+        meets = left.join(leaders, "key").where((F.col("root") != F.col("leader.root")) & alike("", "leader."))
+        met = meets.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("leader.node")), 1, MET).alias("some"), F.slice(F.reverse(F.array_sort(F.collect_set("leader.node"))), 1, MET).alias("others"))  # its keys at most
+        pairs = met.select("node", F.explode(F.array_union("some", "others")).alias("o"))
+        found = verified(pairs.select(F.least("node", "o").alias("u"), F.greatest("node", "o").alias("v")), f"similar-round-{k}")
+        if found.limit(1).count() == 0:
+            break
+        edges = edges.unionByName(found)
+        left = rooted(edges, f"similar-open-{k}")
+    fine = sets.join(left.select("node").distinct(), "node").select("node", fine_sketch(F.col("set")).alias("fine"))
+    rest = stored(left.select("key", "node", "root", "shingles", *bits).join(stored(fine, "similar-fine"), "node"), "similar-rest")
+    near = F.expr(f"aggregate(zip_with(x.fine, y.fine, (a, b) -> bit_count(a ^ b)), 0, (s, d) -> s + d) <= {most_differing(similarity, FINE_LONGS)}")
+    others = rest.alias("x").join(rest.alias("y"), F.expr("x.key = y.key AND x.root < y.root") & alike("x.", "y.") & near)
+    return edges.unionByName(verified(others.select(F.expr("least(x.node, y.node)").alias("u"), F.expr("greatest(x.node, y.node)").alias("v")), "similar-others"))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -215,7 +309,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row for each document: doc_id, fp (long), component_id, keep (true for one row of each component), ``carry``.
 
     Documents link at MAX_BITS differing bits of their SimHash or fewer; where ``similarity`` is given, at that Jaccard
-    similarity of their sets of shingles or more, and fp is the set's digest (binary).
+    similarity of their sets of shingles or more, and fp is the set's digest (binary).  SimHash can't find those: at a similarity of 0.8 some
+    10 of 64 bits differ.  There the inverted index is of bands of least hashes, and sets are compared whole.
     component_id is the smallest doc_id reachable over links, the own one included.  The kept row has that id; of
     several such rows, one is kept.  Null and blank texts have fingerprint 0 (an empty set) and link like any other.  Null ids
     order last; a component of only null ids has a null id.  An empty table gives an empty result.
@@ -231,12 +326,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = stored(d, "simhash-rows")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     own = F.col("fp") if similarity is None else F.col("least.row")
-    groups = d.groupBy("fp").agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("n"), *([] if similarity is None else [F.first("keys").alias("keys")]))
+    groups = d.groupBy("fp").agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("n"), *([] if similarity is None else [F.first("shingles").alias("shingles"), F.first("bits").alias("bits"), F.first("keys").alias("keys")]))
     groups = stored(groups.withColumn("own", own), "simhash-groups")
     if similarity is None:
         edges = linked_pairs(groups.select("fp"))
     else:
-        edges = similar_pairs(groups.select(F.col("own").alias("node"), "keys"), d.select(F.col("row").alias("node"), F.col("t").alias("text")), shingle, similarity)
+        edges = similar_pairs(groups.select(F.col("own").alias("node"), "shingles", "bits", "keys"), d.select(F.col("row").alias("node"), F.col("t").alias("text")), shingle, similarity)
     roots = components(edges)
     labelled = groups.join(roots, groups["own"] == roots["node"], "left").select("fp", F.coalesce("root", "own").alias("root"), "least", "n")
     labelled = stored(labelled, "simhash-labelled")
