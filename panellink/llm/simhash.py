@@ -37,7 +37,7 @@ SKETCH_LONGS = 4
 #: As many for the sets that meet all others of a key: so they meet only those that are alike by 0.76 or so.
 FINE_LONGS = 64
 #: Members of its keys that a node meets in a round, and rounds at most before those of a key that aren't connected yet all meet.
-MET, ROUNDS = 2, 2
+MET, ROUNDS = 4, 4
 
 
 def _shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
