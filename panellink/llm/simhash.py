@@ -221,8 +221,8 @@ def linked_pairs(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def similar_pairs(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Edges (u, v) with the same connected components as all pairs of ``nodes`` (node, shingles, bits, keys) that share a key and are similar.
+def similar_roots(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, root) for the ``nodes`` (node, shingles, bits, keys) that share a key, root the least node reachable over the pairs that do and are similar.
 
     ``texts`` has (node, text).  Each node is first held against one other: the least of the least members of its keys.  Then rounds follow in which
     every key is led by some member and nodes meet a few leaders, until a round finds nothing; what is connected isn't compared again, so a group
@@ -252,17 +252,16 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
         pairs = stored(pairs.distinct(), f"{name}-pairs")
         return stored(pairs.join(a, "u").join(b, "v").where(similar(similarity)("a", "b")).select("u", "v"), name)
 
-    def rooted(edges: DataFrame, name: str) -> DataFrame:
+    def unjoined(roots: DataFrame, name: str) -> DataFrame:
         """The members of keys that aren't one component yet, with their roots."""
-        roots = components(edges)
-        held = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        held = stored(held, f"{name}-held")
+        held = stored(members.join(roots, "node"), f"{name}-held")
         open_keys = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         return stored(held.join(open_keys, "key"), name)
 
     least = members.where(alike("", "head.")).groupBy("node").agg(F.min("head.node").alias("u")).where("u < node")
     edges = verified(least.select("u", F.col("node").alias("v")), "similar-least")
-    left = rooted(edges, "similar-open-0")
+    roots = joined(facts.select("node", F.col("node").alias("root")), edges, "similar-roots-0")
+    left = unjoined(roots, "similar-open-0")
     for k in range(1, ROUNDS + 1):
         # each key is led by another member in every round; a node meets the leaders of MET of its keys
         member = F.struct(F.xxhash64("node", "key", F.lit(k)).alias("h"), "node", "root", "shingles", *bits)
@@ -273,13 +272,39 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
         found = verified(pairs.select(F.least("node", "o").alias("u"), F.greatest("node", "o").alias("v")), f"similar-round-{k}")
         if found.limit(1).count() == 0:
             break
-        edges = edges.unionByName(found)
-        left = rooted(edges, f"similar-open-{k}")
+        roots = joined(roots, found, f"similar-roots-{k}")
+        left = unjoined(roots, f"similar-open-{k}")
     fine = sets.join(left.select("node").distinct(), "node").select("node", fine_sketch(F.col("set")).alias("fine"))
     rest = stored(left.select("key", "node", "root", "shingles", *bits).join(stored(fine, "similar-fine"), "node"), "similar-rest")
     near = F.expr(f"aggregate(zip_with(x.fine, y.fine, (a, b) -> bit_count(a ^ b)), 0, (s, d) -> s + d) <= {most_differing(similarity, FINE_LONGS)}")
     others = rest.alias("x").join(rest.alias("y"), F.expr("x.key = y.key AND x.root < y.root") & alike("x.", "y.") & near)
-    return edges.unionByName(verified(others.select(F.expr("least(x.node, y.node)").alias("u"), F.expr("greatest(x.node, y.node)").alias("v")), "similar-others"))
+    found = verified(others.select(F.expr("least(x.node, y.node)").alias("u"), F.expr("greatest(x.node, y.node)").alias("v")), "similar-others")
+    return joined(roots, found, "similar-roots")
+
+
+def joined(roots: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """(node, root) after ``edges`` (u, v) between nodes of ``roots`` are added, root the least node reachable.
+
+    Only the roots that these edges join are walked, not the edges before.  Each of them is first replaced by its least neighbour, itself
+    included: of a leader and the many that met it little more than the links between leaders is left for the rounds of ``components``.
+    """
+
+    def between(pairs: DataFrame, labels: DataFrame, step: str) -> DataFrame:
+        a, b = labels.select(F.col("node").alias("u"), F.col("root").alias("ru")), labels.select(F.col("node").alias("v"), F.col("root").alias("rv"))
+        pairs = pairs.join(a, "u").join(b, "v").where("ru != rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v"))
+        return stored(pairs.distinct(), f"{name}-{step}")
+
+    def relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return rows.join(labels.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+    pairs = between(edges, roots, "between")
+    if pairs.limit(1).count() == 0:
+        return roots
+    ends = pairs.select(F.col("u").alias("node"), F.col("u").alias("near")).unionAll(pairs.select(F.col("v").alias("node"), F.col("u").alias("near")))
+    labels = stored(ends.groupBy("node").agg(F.min("near").alias("root")), f"{name}-near")
+    rest = between(pairs, labels, "rest")
+    roots = relabelled(roots, labels)
+    return stored(roots if rest.limit(1).count() == 0 else relabelled(roots, components(rest)), name)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -329,10 +354,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = d.groupBy("fp").agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("n"), *([] if similarity is None else [F.first("shingles").alias("shingles"), F.first("bits").alias("bits"), F.first("keys").alias("keys")]))
     groups = stored(groups.withColumn("own", own), "simhash-groups")
     if similarity is None:
-        edges = linked_pairs(groups.select("fp"))
+        roots = components(linked_pairs(groups.select("fp")))
     else:
-        edges = similar_pairs(groups.select(F.col("own").alias("node"), "shingles", "bits", "keys"), d.select(F.col("row").alias("node"), F.col("t").alias("text")), shingle, similarity)
-    roots = components(edges)
+        roots = similar_roots(groups.select(F.col("own").alias("node"), "shingles", "bits", "keys"), d.select(F.col("row").alias("node"), F.col("t").alias("text")), shingle, similarity)
     labelled = groups.join(roots, groups["own"] == roots["node"], "left").select("fp", F.coalesce("root", "own").alias("root"), "least", "n")
     labelled = stored(labelled, "simhash-labelled")
     firsts = stored(labelled.groupBy("root").agg(F.min("least").alias("first")), "simhash-firsts")

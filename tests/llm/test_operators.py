@@ -231,6 +231,35 @@ def test_similarity_links_all_pairs_at_the_threshold(spark):
     assert records(simhash.near_duplicates(table(spark, []), shingle=5, similarity=0.8)) == []
 
 
+def test_found_links_are_walked_once(spark, monkeypatch):
+    """Rounds hand only what they found to the components, so their rows grow with the members of a group of near copies, not with rounds times all links."""
+    rng = random.Random(71)
+    base = words(rng, 200)
+    docs = [(k, edited(rng, base, 0.01 if k > 7 else 0.02)) for k in range(160)]  # the first ones are less than 0.8 alike to most
+    stored, components, found, walked = simhash.stored, simhash.components, [], []
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name in ("similar-least", "similar-others") or name.startswith("similar-round-") and not name.endswith("-pairs"):
+            found.append(out.count())
+        return out
+
+    def walk(edges):
+        walked.append(edges.count())
+        return components(edges)
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    monkeypatch.setattr(simhash, "components", walk)
+    got = records(simhash.near_duplicates(table(spark, docs), shingle=5, similarity=0.8))
+    assert len(found) > 2 and found[1] > 2 * len(docs) and sum(walked) <= len(docs)
+    sets, roots = [shingles(t) for _, t in docs], list(range(len(docs)))
+    for x, y in combinations(range(len(docs)), 2):
+        if roots[x] != roots[y] and jaccard(sets[x], sets[y]) >= 0.8:
+            least, other = sorted((roots[x], roots[y]))
+            roots = [least if r == other else r for r in roots]
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(roots))
+
+
 def test_tally_of_shared_lists(spark):
     """Without long lists, the pairs are exactly those of two differing bits or fewer; six equal bytes are sure to share three lists."""
     assert len(simhash.LISTS) == 14
