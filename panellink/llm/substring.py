@@ -21,6 +21,8 @@ MIN_WORDS = 6
 MIN_PASSAGE = 30
 #: Letters that count as a word where blanks don't part words.
 LETTERS_A_WORD = 12
+#: Characters of the texts whose units or kept texts a Python worker holds at once; a longer text stands alone.
+BATCH_CHARS = 1 << 20
 
 _UNIT = re.compile(r"[^.!?\n\u3002\uff01\uff1f]*(?:[.!?\u3002\uff01\uff1f]+\s*|\n\s*|\Z)")
 _DROP = re.compile(r"[\W_]+")
@@ -67,11 +69,29 @@ def units(text: str | None) -> Iterator[tuple[int, int, bytes, int]]:
         yield a, b, digest + bytes([k - low]), n
 
 
+def pieces(texts: pd.Series) -> Iterator[slice]:
+    """Slices of all the texts, in order, of BATCH_CHARS characters at most or of one text."""
+    start = chars = 0
+    for k, t in enumerate(texts):
+        n = len(t or "")
+        if k > start and chars + n > BATCH_CHARS:
+            yield slice(start, k)
+            start, chars = k, 0
+        chars += n
+    yield slice(start, len(texts))
+
+
+def unit_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The units of each text, a piece of a batch at a time: units take several times the memory of their text."""
+    for texts in batches:
+        for part in pieces(texts):
+            yield pd.Series([[{"start": a, "end": b, "digest": d, "words": n} for a, b, d, n in units(t)] for t in texts.iloc[part]], dtype=object)
+
+
 def text_units(text: Column) -> Column:
     @pandas_udf("array<struct<start:int, end:int, digest:binary, words:int>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([[{"start": a, "end": b, "digest": d, "words": n} for a, b, d, n in units(t)] for t in texts])
+        yield from unit_batches(batches)
 
     return of(text)
 
@@ -100,8 +120,9 @@ def without(text: Column, spans: Column, least: int) -> Column:
     @pandas_udf("text string, removed array<struct<start:int, end:int>>, n_removed int")
     def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, found in batches:
-            rows = [cut(t, runs([(int(x["start"]), int(x["end"]), int(x["words"])) for x in s], least) if s is not None else []) for t, s in zip(texts, found)]
-            yield pd.DataFrame([(t, s, len(s)) for t, s in rows], columns=["text", "removed", "n_removed"])
+            for part in pieces(texts):
+                rows = [cut(t, runs([(int(x["start"]), int(x["end"]), int(x["words"])) for x in s], least) if s is not None else []) for t, s in zip(texts.iloc[part], found.iloc[part])]
+                yield pd.DataFrame([(t, s, len(s)) for t, s in rows], columns=["text", "removed", "n_removed"])
 
     return of(text, spans)
 

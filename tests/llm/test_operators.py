@@ -832,6 +832,21 @@ def test_repeated_passages(spark):
     assert all(sum(x["end"] - x["start"] for x in r["removed"]) == r["n_chars_removed"] and len(r["removed"]) == r["n_removed"] for r in got.values())
 
 
+def test_units_are_made_a_piece_at_a_time(spark):
+    """A batch of Arrow's size isn't turned into units at once; all texts keep theirs, in order."""
+    rng = random.Random(62)
+    texts = [None, "", words(rng, 300_000), *(". ".join(words(rng, 7) for _ in range(40)) for _ in range(1500)), None]
+    sizes, n, got = [], 0, []
+    for out in substring.unit_batches(iter([pd.Series(texts, dtype=object), pd.Series([], dtype=object)])):
+        sizes.append(sum(len(t or "") for t in texts[n : n + len(out)]) if len(out) > 1 else 0)
+        n += len(out)
+        got += [[(u["start"], u["end"], u["digest"], u["words"]) for u in us] for us in out]
+    assert got == [list(substring.units(t)) for t in texts] and 0 < max(sizes) <= substring.BATCH_CHARS
+    docs = list(enumerate([*texts, texts[5], texts[6]]))
+    kept = {r["doc_id"]: r["text"] for r in records(substring.remove_repeats(table(spark, docs)))}
+    assert kept == {i: "" if i >= len(texts) else t for i, t in docs}
+
+
 # --- media ----------------------------------------------------------------------------------------------------
 
 
