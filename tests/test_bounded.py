@@ -64,3 +64,57 @@ def test_variants_and_seeds_are_scored_by_form(spark, persons):
     seeds = scored.where("score >= 9").select("emp_a", "emp_b")
     control = {r["test"]: r for r in evaluate.seeded_test(seeds, persons).collect()}["control"]
     assert control["n"] == seeds.count() and control["recall"] == 1.0
+
+
+def test_classes_are_matched_as_by_scanning_all_pairs():
+    import numpy as np
+
+    from panellink.operators.closure import greedy_rows
+    from panellink.operators.matching import match_classes
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        cx, cy = rng.integers(0, 7, 40), rng.integers(0, 6, 30)
+        s = rng.integers(0, 4, (7, 6)).astype(float)  # many ties
+        a, b = np.nonzero(s)
+        xs, ys = [np.flatnonzero(cx == k).tolist() for k in range(7)], [np.flatnonzero(cy == k).tolist() for k in range(6)]
+        pairs = sorted((-s[cx[x], cy[y]], x, y) for x in range(40) for y in range(30) if s[cx[x], cy[y]])
+        want = [pairs[k] for k in greedy_rows([(x, y) for _, x, y in pairs])]
+        assert sorted((-v, x, y) for x, y, v in match_classes(s[a, b], a, b, xs, ys)) == sorted(want)
+
+
+def test_linkage_makes_no_pairs_of_records(spark, monkeypatch):
+    """The same edges as from all scored pairs, in chunks and with a task for each pair of years, and no stored table of candidates."""
+    from panellink.operators import matching
+    from panellink.operators.candidates import default_weights, scored
+    from panellink.operators.closure import resolve_within
+    from panellink.operators.prepare import prepare_panel
+    from panellink.plans import link
+
+    raw = synthetic_panel(spark, "/root/testdata/sf0.001").drop("EMP_ID")
+    raw = raw.withColumn("ein", F.concat(F.lit("E"), (F.col("truth_id") % 3).cast("string"))).cache()  # three large organizations
+    _, work, _ = prepare_panel(raw)
+    every = scored(work, default_weights()).where("score >= 7").select("org", "yr_x", "yr_y", "row_x", "row_y", "score")
+    want = sorted((r["row_x"], r["row_y"], round(r["score"], 9)) for r in resolve_within(every).where("uid IS NULL").collect())
+    monkeypatch.setattr(matching, "CHUNK", 50)
+    monkeypatch.setattr(matching, "TASK_RECORDS", 100)
+    offered = []
+    monkeypatch.setattr(link, "resolve_within", lambda candidates: offered.append(candidates.count()) or resolve_within(candidates))
+    got = sorted((r["row_x"], r["row_y"], round(r["score"], 9)) for r in link.link_panel(raw).edges.collect())
+    assert got == want and len(got) > 100
+    assert offered == [len(got)] and every.count() > 2 * len(got)
+
+
+def test_counts_of_pairs_are_those_of_all_pairs(spark):
+    from panellink.operators.candidates import compared
+    from panellink.operators.matching import counted_pairs, signatures
+    from panellink.operators.prepare import prepare_panel
+    from panellink.plans.model import agreement
+
+    _, work, feats = prepare_panel(synthetic_panel(spark, "/root/testdata/sf0.001").drop("EMP_ID").withColumn("ein", F.lit("E")))
+    agree = lambda d, fs: d.withColumns({f: (F.col(f) >= 0.5).cast("double") for f in fs})
+    want = agree(compared(work, feats), feats).groupBy(*feats).agg(F.count(F.lit(1)).alias("n")).collect()
+    stable = [f for f in feats if f != "title_standard"]
+    records, pairs = signatures(work, feats)
+    got = counted_pairs(records, agree(pairs, stable).select("org", "s_x", "s_y", *stable), stable, "title_standard", agreement(0.5)).where("n > 0").select(*feats, "n").collect()
+    assert len(got) > 4 and sorted(map(str, got)) == sorted(map(str, want))
