@@ -129,3 +129,22 @@ def test_sweeps_count_scores_of_signatures(spark):
     flat = lambda d: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.na.fill(-1.0).collect())
     assert flat(evaluate.threshold_sweep(counted, weight="n")) == flat(evaluate.threshold_sweep(every))
     assert flat(evaluate.score_quantiles(counted, weight="n")) == flat(evaluate.score_quantiles(every))
+
+
+def test_no_bucket_of_a_wave_is_dropped(spark, monkeypatch):
+    """80 existing and 80 new persons of one organization and surname make 6,400 pairs."""
+    from panellink.operators.blocking import same_org_candidate_pairs
+    from panellink.plans.incremental import match_to_profiles
+
+    def persons_of(mark, year):
+        d = spark.range(80).select(F.concat(F.lit(mark), F.lpad(F.col("id").cast("string"), 2, "0")).alias("EMP_ID"), F.lit("1").alias("ein"), F.lit(year).alias("taxyr"), F.lit("ANN SMITH-LEE").alias("name"), F.lit("ANN").alias("first_name"), F.lit("SMITH-LEE").alias("last_name"), F.lit("F").alias("gender"), F.lit("CEO").alias("title_standard"))
+        return build_person_profile(d).cache()
+
+    old, new = persons_of("A", 2000), persons_of("B", 2001)
+    monkeypatch.setattr(blocking, "BLOCK_ROWS", 30)
+    pairs, dropped = same_org_candidate_pairs(old, new)
+    assert pairs.count() == pairs.distinct().count() == 6400 and dropped.count() == 0
+    assert same_org_candidate_pairs(old, new, 5000)[0].count() == 0  # where a caller asks for it
+    weight = spark.createDataFrame([("SMITH-LEE", 1.0)], "last_name string, weight double")
+    found = {(r["existing_emp_id"], r["wave_emp_id"]) for r in match_to_profiles(new, old, surname_weight=weight).matched.collect()}
+    assert found == {(f"A{k:02d}", f"B{k:02d}") for k in range(80)}
